@@ -33,7 +33,7 @@ from tesserae.llm.text import SPACE, chunks, flat, rows_of, word_hashes, words
 ALPHA, FENCE, FEW = 0.01, 3.0, 50
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
 #: Measures and the least spread that counts, in the order in which they name the reason.
-MEASURES = {"symbols": 0.02, "exclaims": 0.02, "capitals": 0.04, "repeats": 0.1, "lines": 0.1}
+MEASURES = {"symbols": 0.02, "exclaims": 0.02, "capitals": 0.04, "repeats": 0.1, "lines": 0.15}
 SYMBOLS, EXCLAIMS = "#$%&*|{}<>=_~^", "!?"
 NEWLINE = np.zeros(256, bool)
 NEWLINE[10] = True
