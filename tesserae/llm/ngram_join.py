@@ -17,11 +17,13 @@ all blocks of that strength.  Blocks of frequent short n-grams, which would
 join texts that have nothing else in common, and empty blocks stay at home.
 
 Blocks move as packed keys to hash shards.  Every shared block names the
-smallest identifier in it, its leader; texts travel once to each of their
-leaders, where all pairs are verified exactly.  A pair is reported by the
-smallest leader that both have, so no distinct() over pairs is needed, and
-nothing is quadratic but the verified groups.  Groups beyond TILE texts are cut
-into tile pairs.
+smallest identifier in it, its leader.  First only parity sketches travel to the
+leaders, about one bit for each n-gram, of which each n-gram flips one: their
+Hamming distance, too, is at most the symmetric difference, so a text that is too far from all
+others of a leader needs no more of it.  The texts left travel to their leaders,
+where all pairs are verified exactly.  A pair is reported by the smallest leader
+that both have, so no distinct() over pairs is needed.  Groups beyond TILE texts
+are cut into tile pairs.
 
 Defined results: null text, and text without words, has an empty set and is in
 no pair.  Texts of fewer than n words are one n-gram.  Rows with null doc_id
@@ -43,7 +45,7 @@ from tesserae.llm.pack import narrow, packed, unpacked, widened
 from tesserae.llm.text import NOT_WORD, chunks, flat, fresh, gram_hashes, mix, pieces, rows_of, shards, word_hashes, words
 
 N, T = 2, 0.7
-LEVELS = (28, 20, 12, 2, 0)
+LEVELS = (40, 32, 28, 24, 20, 18, 16, 14, 12, 10, 8, 6, 4, 2, 0)
 TILE = 2048
 U = np.uint64
 PAIRS = "doc_id_a long, doc_id_b long, jaccard double"
@@ -144,6 +146,87 @@ def _edges(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(pair[:, 0], pa.int64()), "leader": pa.array(pair[:, 1], pa.int64())})
 
 
+def parity_sketches(grams: np.ndarray, off: np.ndarray) -> list[bytes]:
+    """Of every row a sketch of 2**k >= size bits (256 at least), of which each n-gram flips one."""
+    size = np.diff(off)
+    width = 1 << np.maximum(8, np.ceil(np.log2(np.maximum(size, 1))).astype(np.int64))
+    start = np.r_[0, np.cumsum(width)]
+    row = rows_of(off)
+    at = start[row] + (mix((grams >> U(6)) + U(0x51ED270B)) & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+    bits = np.packbits(np.bincount(at, minlength=start[-1]).astype(np.uint8) & 1, bitorder="little").tobytes()
+    return [bits[i // 8 : j // 8] for i, j in zip(start[:-1].tolist(), start[1:].tolist())]
+
+
+def _fold(bits: bytes, width: int) -> np.ndarray:
+    """The sketch of fewer bits: halves cancel as the n-grams in them do."""
+    return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width // 64), 0)
+
+
+def _close_to_another(size, bits, tile, across: bool, t: float) -> np.ndarray:
+    """Rows whose Hamming distance to another row allows Jaccard >= t; the distance never exceeds the symmetric difference."""
+    n = len(size)
+    keep = np.zeros(n, bool)
+    order = np.argsort(size, kind="stable")
+    size, tile = size[order].astype(np.int64), tile[order]
+    lo = 0
+    while lo < n:  # from one size on, those that it may pair with
+        hi = int(np.searchsorted(size, 2 * size[lo], "right"))
+        end = int(np.searchsorted(size, np.floor(size[hi - 1] / t + 1e-9), "right"))
+        width = 8 * min(len(bits[order[lo]]), len(bits[order[hi - 1]]))
+        x = np.stack([_fold(bits[i], width) for i in order[lo:end]])
+        for i in range(lo, hi):
+            j = int(np.searchsorted(size, np.floor(size[i] / t + 1e-9), "right"))
+            if j <= i + 1:
+                continue
+            d = np.bitwise_count(x[i - lo] ^ x[i + 1 - lo : j - lo]).sum(1)
+            ok = d <= np.floor((1 - t) / (1 + t) * (size[i] + size[i + 1 : j]) + 1e-9)
+            if across:
+                ok &= tile[i + 1 : j] != tile[i]
+            if ok.any():
+                keep[order[i]] = True
+                keep[order[i + 1 : j][ok]] = True
+        lo = hi
+    return keep
+
+
+def _groups(batches: Iterator[pa.RecordBatch], at_bytes: int = 16 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of whole groups of (leader, ti, tj), of about this size or one group, and the groups' bounds."""
+    names = ("leader", "ti", "tj")
+
+    def cut(table):
+        k = [table[c].to_numpy() for c in names]
+        return np.r_[np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in k])]), len(k[0])]
+
+    held, size = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.nbytes
+        if size < at_bytes:
+            continue
+        table = pa.Table.from_batches(held)
+        bounds = cut(table)
+        if len(bounds) > 2:
+            yield table.slice(0, bounds[-2]), bounds[:-1]
+            table = table.slice(bounds[-2])
+        held, size = table.to_batches(), 0
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, cut(table)
+
+
+def _to_leaders(rows: DataFrame, edges: DataFrame, payload: list[str]) -> DataFrame:
+    """Every row at each of its leaders, group by group; groups beyond TILE rows as pairs of tiles."""
+    tiles = edges.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
+    per_doc = edges.join(tiles, "leader").groupBy("doc_id").agg(F.collect_list(F.struct("leader", "tiles")).alias("to"))
+    sent = rows.join(per_doc, "doc_id").select("doc_id", *payload, F.col("to.leader").alias("leaders"), F.explode("to").alias("to"))
+    tile = F.pmod(F.xxhash64("doc_id"), F.col("to.tiles")).cast("int")
+    sent = sent.select("doc_id", *payload, "leaders", F.col("to.leader").alias("leader"), tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("to.tiles") - 1)).alias("other"))
+    sent = sent.select("doc_id", *payload, "leaders", "leader", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
+    return sent.repartition("leader", "ti", "tj").sortWithinPartitions("leader", "ti", "tj", "doc_id")
+
+
 def _verify_group(ids, sets, leaders, tiles, leader, ti, tj, t, expand) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs of one group, all of which name this leader."""
     of: dict[bytes, int] = {}
@@ -224,32 +307,33 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
 
         yield from pieces(batches, make)
 
-    edges = docs.mapInArrow(sketch, "shard int, p0 binary, p1 binary, p2 binary").groupBy("shard").applyInArrow(_edges, "doc_id long, leader long")
-    sizes = edges.distinct()
-    per_leader = sizes.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
-    per_doc = (
-        sizes.join(per_leader, "leader")
-        .groupBy("doc_id")
-        .agg(F.collect_list(F.struct("leader", "tiles")).alias("leaders"))
-    )
-    sent = (
-        docs.join(per_doc, "doc_id")
-        .select("doc_id", "text", F.col("leaders.leader").alias("leaders"), F.explode("leaders").alias("to"))
-        .select("doc_id", "text", "leaders", F.col("to.leader").alias("leader"), F.col("to.tiles").alias("tiles"))
-        .withColumn("tile", F.pmod(F.xxhash64("doc_id"), "tiles").cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .select("doc_id", "text", "leaders", "leader", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
-    )
+    edges = docs.mapInArrow(sketch, "shard int, p0 binary, p1 binary, p2 binary").groupBy("shard").applyInArrow(_edges, "doc_id long, leader long").distinct()
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    def parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in chunks(batch.column(1)):
+                g, off = gram_sets(batch.column(1).slice(a, b - a), n)
+                keep = np.flatnonzero(np.diff(off))
+                bits = parity_sketches(g, off)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(keep)), pa.array(np.diff(off)[keep].astype(np.int32)), pa.array([bits[i] for i in keep], pa.binary())], names=["doc_id", "size", "bits"])
+
+    def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cut in _groups(batches):
+            ids, size, tile, bits = table["doc_id"].to_numpy(), table["size"].to_numpy(), table["tile"].to_numpy(), table["bits"].to_pylist()
+            lead, ti, tj = (table[c].to_numpy() for c in ("leader", "ti", "tj"))
+            keep = np.zeros(len(ids), bool)
+            for a, b in zip(cut[:-1], cut[1:]):
+                keep[a:b] = _close_to_another(size[a:b], bits[a:b], tile[a:b], ti[a] != tj[a], t)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(lead[keep])], names=["doc_id", "leader"])
+
+    bits = docs.mapInArrow(parity, "doc_id long, size int, bits binary")
+    close = _to_leaders(bits, edges, ["size", "bits"]).mapInArrow(sieve, "doc_id long, leader long").distinct()
+    sent = _to_leaders(docs, close, ["text"])
 
-        def flush(table: pa.Table):
-            if not table.num_rows:
-                return
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cut in _groups(batches):
             out = []
             lead, ti, tj = (table[c].to_numpy() for c in ("leader", "ti", "tj"))
-            cut = np.flatnonzero(np.r_[True, (lead[1:] != lead[:-1]) | (ti[1:] != ti[:-1]) | (tj[1:] != tj[:-1])])
             ids, tile = table["doc_id"].to_numpy(), table["tile"].to_numpy()
             leaders = table["leaders"].to_pylist()
             col = table["text"].combine_chunks()
@@ -257,29 +341,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
             for a, b in chunks(col):
                 g, off = gram_sets(col.slice(a, b - a), n)
                 sets += [g[off[i] : off[i + 1]] for i in range(b - a)]
-            for a, b in zip(cut, np.r_[cut[1:], len(lead)]):
+            for a, b in zip(cut[:-1], cut[1:]):
                 out += _verify_group(ids[a:b], sets[a:b], leaders[a:b], tile[a:b], lead[a], ti[a], tj[a], t, expand)
             if out:
                 a, b, v = (np.concatenate(x) for x in zip(*out))
                 for i in range(0, len(a), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000]), pa.array(v[i : i + 100_000])], names=["doc_id_a", "doc_id_b", "jaccard"])
 
-        size = 0
-        for batch in batches:
-            held.append(batch)
-            size += batch.nbytes
-            if size < 16 << 20:
-                continue
-            table = pa.Table.from_batches(held)
-            same = np.logical_and.reduce([table[c].to_numpy() == table[c][-1].as_py() for c in ("leader", "ti", "tj")])
-            at = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            yield from flush(table.slice(0, at))
-            held, size = table.slice(at).to_batches(), 0
-        if held:
-            yield from flush(pa.Table.from_batches(held))
-
-    pairs = sent.repartition("leader", "ti", "tj").sortWithinPartitions("leader", "ti", "tj", "doc_id").mapInArrow(verify, PAIRS)
-    return pairs
+    return sent.mapInArrow(verify, PAIRS)
 
 
 def near_groups(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
