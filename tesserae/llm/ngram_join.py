@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.pack import narrow, packed, unpacked, widened
+from tesserae.llm.shared import checkpoint
 from tesserae.llm.text import NOT_WORD, chunks, flat, fresh, gram_hashes, mix, pieces, rows_of, shards, word_hashes, words
 
 N, T = 2, 0.7
@@ -307,7 +308,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
 
         yield from pieces(batches, make)
 
-    edges = docs.mapInArrow(sketch, "shard int, p0 binary, p1 binary, p2 binary").groupBy("shard").applyInArrow(_edges, "doc_id long, leader long").distinct()
+    edges = docs.mapInArrow(sketch, "shard int, p0 binary, p1 binary, p2 binary").groupBy("shard").applyInArrow(_edges, "doc_id long, leader long")
+    edges = checkpoint(edges.distinct())
 
     def parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -327,7 +329,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(lead[keep])], names=["doc_id", "leader"])
 
     bits = docs.mapInArrow(parity, "doc_id long, size int, bits binary")
-    close = _to_leaders(bits, edges, ["size", "bits"]).mapInArrow(sieve, "doc_id long, leader long").distinct()
+    close = checkpoint(_to_leaders(bits, edges, ["size", "bits"]).mapInArrow(sieve, "doc_id long, leader long").distinct())
     sent = _to_leaders(docs, close, ["text"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -357,8 +359,6 @@ def near_groups(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:
     Alternates min-label and pointer jumping until nothing changes; each round
     is cut by checkpoint() in the shared checkpoint folder.
     """
-    from tesserae.llm.shared import checkpoint
-
     pairs = checkpoint(ngram_jaccard_join(docs, n, t, expand=False).select("doc_id_a", "doc_id_b").distinct())
     both = pairs.select(F.col("doc_id_a").alias("doc_id"), F.col("doc_id_b").alias("peer")).union(pairs.select("doc_id_b", "doc_id_a"))
     label = checkpoint(both.groupBy("doc_id").agg(F.least(F.min("peer"), F.first("doc_id")).alias("group")))
