@@ -180,4 +180,5 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD
             }
         )
 
-    return lengths.groupBy("shard").applyInArrow(packed, SCHEMA)
+    tasks = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # small rows, much work: not to be coalesced
+    return lengths.repartition(tasks, "shard").groupBy("shard").applyInArrow(packed, SCHEMA)
