@@ -45,7 +45,7 @@ from tesserae.llm.pack import narrow, packed, unpacked, widened
 from tesserae.llm.shared import checkpoint
 from tesserae.llm.text import NOT_WORD, chunks, flat, fresh, gram_hashes, mix, pieces, rows_of, shards, word_hashes, words
 
-N, T = 2, 0.7
+N, T = 2, 0.75
 LEVELS = (40, 32, 28, 24, 20, 18, 16, 14, 12, 10, 8, 6, 4, 2, 0)
 TILE = 2048
 U = np.uint64
@@ -163,9 +163,19 @@ def _fold(bits: bytes, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width // 64), 0)
 
 
-def _close_to_another(size, bits, tile, across: bool, t: float) -> np.ndarray:
-    """Rows whose Hamming distance to another row allows Jaccard >= t; the distance never exceeds the symmetric difference."""
+def _close_to_another(size, bits, tile, across: bool, leaders, leader: int, t: float) -> np.ndarray:
+    """Rows whose Hamming distance to another row allows Jaccard >= t; the distance never exceeds the symmetric difference.
+
+    A pair counts at the smallest leader that both have, and only there.
+    """
     n = len(size)
+    smaller: dict[int, frozenset] = {}
+
+    def before(k):
+        if k not in smaller:
+            smaller[k] = frozenset(x for x in leaders[k] if x < leader)
+        return smaller[k]
+
     keep = np.zeros(n, bool)
     order = np.argsort(size, kind="stable")
     size, tile = size[order].astype(np.int64), tile[order]
@@ -183,9 +193,9 @@ def _close_to_another(size, bits, tile, across: bool, t: float) -> np.ndarray:
             ok = d <= np.floor((1 - t) / (1 + t) * (size[i] + size[i + 1 : j]) + 1e-9)
             if across:
                 ok &= tile[i + 1 : j] != tile[i]
-            if ok.any():
-                keep[order[i]] = True
-                keep[order[i + 1 : j][ok]] = True
+            for k in order[i + 1 : j][ok]:
+                if not (keep[order[i]] and keep[k]) and before(order[i]).isdisjoint(before(k)):
+                    keep[order[i]] = keep[k] = True
         lo = hi
     return keep
 
@@ -323,9 +333,10 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
         for table, cut in _groups(batches):
             ids, size, tile, bits = table["doc_id"].to_numpy(), table["size"].to_numpy(), table["tile"].to_numpy(), table["bits"].to_pylist()
             lead, ti, tj = (table[c].to_numpy() for c in ("leader", "ti", "tj"))
+            leaders = table["leaders"].to_pylist()
             keep = np.zeros(len(ids), bool)
             for a, b in zip(cut[:-1], cut[1:]):
-                keep[a:b] = _close_to_another(size[a:b], bits[a:b], tile[a:b], ti[a] != tj[a], t)
+                keep[a:b] = _close_to_another(size[a:b], bits[a:b], tile[a:b], ti[a] != tj[a], leaders[a:b], lead[a], t)
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(lead[keep])], names=["doc_id", "leader"])
 
     bits = docs.mapInArrow(parity, "doc_id long, size int, bits binary")
