@@ -17,11 +17,10 @@ def rjd(x, init=None, eps=1e-8, maxiter=100):
         turned = False
         for i in range(p - 1):
             for j in range(i + 1, p):
-                g = np.stack([y[:, i, i] - y[:, j, j], y[:, i, j] + y[:, j, i]])
-                gg = g @ g.T
-                on, off = gg[0, 0] - gg[1, 1], gg[0, 1] + gg[1, 0]
-                theta = 0.5 * np.arctan2(off, on + np.sqrt(on * on + off * off))
-                c, s = np.cos(theta), np.sin(theta)
+                dif, cross = y[:, i, i] - y[:, j, j], y[:, i, j] + y[:, j, i]
+                along, across = dif @ dif - cross @ cross, 2 * (dif @ cross)
+                angle = np.arctan2(across, along + np.hypot(along, across)) / 2
+                c, s = np.cos(angle), np.sin(angle)
                 if abs(s) > eps:
                     turned = True
                     rot = np.array([[c, -s], [s, c]])

@@ -231,7 +231,7 @@ def _recursive(x, w, tol, maxiter, move, small=8):
     return average(y, w), maxiter, False
 
 
-def mean_alm(x, w, tol=1e-14, maxiter=100):
+def mean_alm(x, w, tol=1e-10, maxiter=100):
     return _recursive(x, w, tol, maxiter, lambda a, m, n: m)
 
 

@@ -52,7 +52,8 @@ class Kmeans(Estimator):
         df = df.where(F.col(col).isNotNull()).persist()
         n = df.count()
         best = (np.inf, None, 0)
-        for run in range(self.n_init if isinstance(self.init, str) and self.init == "random" else 1):
+        restarts = self.n_init if not isinstance(self.init, np.ndarray) and self.init == "random" else 1
+        for run in range(restarts):
             c = self._start(df, col, id_, self.random_state + run)
             labels = None
             for k in range(self.max_iter + 1):

@@ -192,7 +192,7 @@ def median(df: DataFrame, metric: str = "euclid", col: str = "cov", weight: str
         rows.unpersist()
 
 
-def maskedmean_riemann(df: DataFrame, col: str = "cov", keep: str | None = None, weight: str | None = None, tol: float = 1e-8, maxiter: int = 100, init=None) -> Mean:
+def maskedmean_riemann(df: DataFrame, col: str = "cov", keep: str | None = None, weight: str | None = None, tol: float = 1e-8, maxiter: int = 50, init=None) -> Mean:
     """Riemannian mean of matrices of which only some channels are there.
 
     keep is a column of 0/1 for each channel; without it, rows and columns of NaN are missing (nanmean).
@@ -210,11 +210,13 @@ def maskedmean_riemann(df: DataFrame, col: str = "cov", keep: str | None = None,
                     p = x.shape[-1]
                     total = np.zeros((p, p))
                     count = np.zeros((p, p))
-                    for xi, wi, k in zip(x, w, masks):
+                    kinds, which = np.unique(masks, axis=0, return_inverse=True)
+                    for j, k in enumerate(kinds):  # all matrices with the same channels at once
+                        at = np.ravel(which) == j
                         q = np.eye(p)[:, k]
-                        y = np.nan_to_num(xi)
-                        total += wi * (M.masked_term(state, q.T @ y @ q, q) if state is not None else y * np.outer(k, k))
-                        count += wi * np.outer(k, k)
+                        y = np.nan_to_num(x[at])
+                        total += np.tensordot(w[at], M.masked_term(state, q.T @ y @ q, q) if state is not None else y * np.outer(k, k), 1)
+                        count += w[at].sum() * np.outer(k, k)
                     yield pa.RecordBatch.from_pydict({"w": [float(w.sum())], "s": [total.ravel().tolist()], "c": [count.ravel().tolist()]})
 
             got = rows.mapInArrow(f, "w double, s array<double>, c array<double>").toLocalIterator()

@@ -2,4 +2,519 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.sql import functions as F
+
+from tesserae import functions as fn
+from tesserae.frames import apply
+from tesserae.kernels import geometry as G
+from tesserae.kernels.ajd import ajd
+from tesserae.ml import artifacts, classification, clustering, embedding, filters, tangent
+from tesserae.operators import stats, transfer
+from tesserae.operators.means import group_means, maskedmean_riemann, mean, mean_frame, median
+from tesserae.operators.pairs import pairwise_distance
+from tesserae.sources import synthetic
+from tesserae.sources import tables as S
+from tesserae.streaming import OnlinePotato, OnlineWhitening, drain, keyed_means, read_events, windowed_covariance
+
 QUERIES = {}
+
+
+def query(f):
+    QUERIES[f.__name__] = f
+    return f
+
+
+def named(name):
+    def put(f):
+        f.__name__ = name
+        return query(f)
+
+    return put
+
+
+def _matrices(spark, named_matrices: dict):
+    rows = [(str(k), [float(v) for v in np.real(np.ravel(m))]) for k, m in named_matrices.items()]
+    return spark.createDataFrame(rows, "key string, matrix array<double>")
+
+
+for _metric, _p in (("riemann", None), ("power", 0.5), ("poweuclid", 0.5), ("logdet", None), ("wasserstein", None), ("ale", None)):
+
+    def _run(spark, sf, metric=_metric, p=_p):
+        return mean_frame(S.part_labels(spark, sf), metric, by="y", p=p)
+
+    named(f"mean_{_metric}")(_run)
+
+
+def _regions(spark, sf):
+    """One matrix for each region, as a set of five."""
+    s, n = S.table(spark, sf, "supplier"), S.table(spark, sf, "nation")
+    lines = S.table(spark, sf, "lineitem").join(s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_regionkey"), F.col("l_suppkey") == F.col("s_suppkey"))
+    return S.covariance_by(lines, "n_regionkey", S.CHANNELS[:2])
+
+
+for _metric in ("alm", "bmp", "cheap", "thompson"):
+
+    def _run(spark, sf, metric=_metric):
+        d = _regions(spark, sf)
+        return mean_frame(d.where("id < 4") if metric == "alm" else d, metric, order="id" if metric == "thompson" else None)
+
+    named(f"mean_{_metric}")(_run)
+
+
+@query
+def median_euclid(spark, sf):
+    return _matrices(spark, {"median": median(S.part_cov(spark, sf), "euclid").matrix})
+
+
+@query
+def median_riemann(spark, sf):
+    return _matrices(spark, {"median": median(S.part_cov(spark, sf), "riemann").matrix})
+
+
+def _with_gaps(spark, sf):
+    """4x4 matrices of which every third lacks one channel."""
+    d = S.part_cov(spark, sf, 4)
+
+    def hole(x, i):
+        out = x.copy()
+        for k, n in enumerate(i):
+            if n % 3 == 0:
+                out[k, n % 4], out[k, :, n % 4] = np.nan, np.nan
+        return out
+
+    return apply(d.withColumn("i", F.col("id")), ["cov", "i"], {"gaps": "matrix"}, hole, ["id"]).withColumnRenamed("gaps", "cov")
+
+
+@query
+def nanmean_riemann(spark, sf):
+    return _matrices(spark, {"mean": maskedmean_riemann(_with_gaps(spark, sf)).matrix})
+
+
+@query
+def masks_from_nan(spark, sf):
+    return fn.nan_masks(_with_gaps(spark, sf)).select("id", "keep")
+
+
+@query
+def maskedmean(spark, sf):
+    d = fn.nan_masks(_with_gaps(spark, sf))
+    return _matrices(spark, {"mean": maskedmean_riemann(d, keep="keep").matrix})
+
+
+@query
+def nearest_spd(spark, sf):
+    d = S.part_cov(spark, sf).withColumn("cov", F.transform("cov", lambda v: v - 20))
+    return fn.validate(d, mode="repair").select("id", "cov")
+
+
+@query
+def geodesic_wasserstein(spark, sf):
+    d = S.part_cov(spark, sf)
+    ref = mean(d, "euclid")
+    return apply(d, ["cov"], {"out": "matrix"}, lambda x: G.geodesic(x, ref[None], 0.25, "wasserstein")).select("id", "out")
+
+
+@query
+def geodesic_thompson(spark, sf):
+    d = S.part_cov(spark, sf)
+    ref = mean(d, "euclid")
+    return apply(d, ["cov"], {"out": "matrix"}, lambda x: G.geodesic(x, ref[None], 0.25, "thompson")).select("id", "out")
+
+
+for _metric in ("euclid", "logchol", "logeuclid", "riemann", "wasserstein"):
+
+    def _run(spark, sf, metric=_metric):
+        d = S.part_cov(spark, sf, 4)
+        ref = mean(d, "euclid")
+        both = fn.at_reference(fn.at_reference(d, "log_map", ref, metric, out="t"), "exp_map", ref, metric, col="t", out="back")
+        return both.select("id", "t", "back")
+
+    named(f"log_exp_map_{_metric}")(_run)
+
+for _metric in ("logchol", "logeuclid", "riemann"):
+
+    def _run(spark, sf, metric=_metric):
+        d = S.part_cov(spark, sf, 4)
+        ref, to = mean(d, "euclid"), mean(d, "harmonic")
+        t = fn.at_reference(d, "log_map", ref, "euclid", out="t")
+        moved = fn.at_reference(t, "transport", ref, metric, "t", "moved", to)
+        return fn.inner_product(fn.at_reference(moved, "norm", ref, metric, "t", "norm"), "t", "t", ref, metric, "product").select("id", "moved", "norm", "product")
+
+    named(f"transport_{_metric}")(_run)
+
+
+@query
+def mahalanobis(spark, sf):
+    d = S.table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("v"))
+    return fn.mahalanobis(d, "v", np.eye(4)).select("vec_id", "distance")
+
+
+@query
+def tangent_space_riemann(spark, sf):
+    d = S.part_cov(spark, sf, 4).select("id", "cov")
+    ts = tangent.TangentSpace().fit(d)
+    return ts.inverse_transform(ts.transform(d).drop("cov")).select("id", "tangent", "cov")
+
+
+for _est in ("lwf", "oas", "sch", "hub", "stu", "tyl", "mcd"):
+
+    def _run(spark, sf, est=_est):
+        e = S.embedding_epochs(spark, sf).select("id", F.slice("x", 1, 32).alias("x"))
+        return fn.covariances(e, 2, est)
+
+    named(f"cov_{_est}")(_run)
+
+
+@query
+def cross_spectra(spark, sf):
+    return filters.CrossSpectra(2, 16, 0.5, fs=64).transform(S.embedding_epochs(spark, sf).select("id", "x"))
+
+
+@query
+def cospectra(spark, sf):
+    return filters.CoSpectra(2, 16, 0.5, fs=64).transform(S.embedding_epochs(spark, sf).select("id", "x"))
+
+
+for _coh in ("ordinary", "instantaneous", "lagged", "imaginary"):
+
+    def _run(spark, sf, coh=_coh):
+        return filters.Coherences(2, 16, 0.5, fs=64, coh=coh).transform(S.embedding_epochs(spark, sf).select("id", "x"))
+
+    named(f"coherence_{_coh}")(_run)
+
+
+@query
+def erp_covariances(spark, sf):
+    e = S.embedding_epochs(spark, sf)
+    return filters.ERPCovariances(8, estimator="lwf", svd=1).fit(e).transform(e).select("id", "cov")
+
+
+@query
+def xdawn(spark, sf):
+    e = S.embedding_epochs(spark, sf)
+    return filters.Xdawn(8, 2).fit(e).transform(e).select("id", "x")
+
+
+@query
+def xdawn_covariances(spark, sf):
+    e = S.embedding_epochs(spark, sf)
+    return filters.XdawnCovariances(8, 1, estimator="lwf").fit(e).transform(e).select("id", "cov")
+
+
+@query
+def block_covariances(spark, sf):
+    return filters.BlockCovariances(8, [4, 4], "lwf").transform(S.embedding_epochs(spark, sf)).select("id", "cov")
+
+
+for _k in ("linear", "poly", "rbf", "laplacian", "cosine"):
+
+    def _run(spark, sf, k=_k):
+        return filters.Kernels(8, k).transform(S.embedding_epochs(spark, sf)).select("id", "cov")
+
+    named(f"channel_kernel_{_k}")(_run)
+
+
+@query
+def sliding_covariances(spark, sf):
+    e = S.table(spark, sf, "events")
+    from pyspark.sql.window import Window
+
+    t = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
+    rows = e.select("event_type", t.cast("int").alias("t"), "value", (F.col("user_id") % 97).cast("double").alias("u"))
+    return filters.sliding_covariances(rows, "event_type", "t", ["value", "u"], 64, 32)
+
+
+def _epoch_covs(spark, sf):
+    e = S.embedding_epochs(spark, sf)
+    return filters.Covariances(8, "lwf").transform(e)
+
+
+@query
+def joint_diagonalisation(spark, sf):
+    got = group_means(_epoch_covs(spark, sf), "euclid", by="y")
+    x = np.stack([got[k].matrix for k in sorted(got)])
+    return _matrices(spark, {m: ajd(x, m)[0] for m in ("ajd_pham", "rjd", "uwedge")})
+
+
+@query
+def csp(spark, sf):
+    d = _epoch_covs(spark, sf)
+    return filters.CSP(4).fit(d).transform(d).select("id", "filtered")
+
+
+@query
+def spoc(spark, sf):
+    d = S.part_labels(spark, sf, 4)
+    return filters.SPoC(2).fit(d, "target").transform(d).select("id", "filtered")
+
+
+@query
+def bilinear_filter(spark, sf):
+    return filters.BilinearFilter(np.eye(4)[:2], log=True).transform(S.part_cov(spark, sf, 4)).select("id", "filtered")
+
+
+@query
+def ajdc(spark, sf):
+    e = S.embedding_epochs(spark, sf).withColumn("subject", F.col("id") % 3).withColumn("condition", F.col("y"))
+    m = filters.AJDC(4, 8, 0.5, fs=64).fit(e)
+    return m.inverse_transform(m.transform(e.select("id", "x")), [0])
+
+
+@query
+def whitening(spark, sf):
+    d = S.part_cov(spark, sf, 4)
+    w = tangent.Whitening("riemann", {"expl_var": 0.99}).fit(d.where("id % 2 = 0"))
+    return w.partial_fit(d.where("id % 2 = 1")).transform(d).select("id", "cov")
+
+
+@query
+def fgda(spark, sf):
+    d = S.part_labels(spark, sf)
+    return tangent.FGDA().fit(d).transform(d).select("id", "cov")
+
+
+def _classified(name, make):
+    def run(spark, sf):
+        d = _epoch_covs(spark, sf).select("id", "y", "cov")
+        return make().fit(d).predict(d).select("id", "y", "prediction")
+
+    named(name)(run)
+
+
+_classified("mdm_riemann", lambda: classification.MDM())
+_classified("fgmdm", lambda: classification.FgMDM())
+_classified("ts_classifier", lambda: classification.TSClassifier("logeuclid"))
+_classified("mean_field", lambda: classification.MeanField((-1, 0, 1)))
+_classified("nearest_convex_hull", lambda: classification.NearestConvexHull())
+_classified("svc", lambda: classification.SVC("logeuclid"))
+_classified("knn_riemann", lambda: classification.KNearestNeighbor(5))
+
+
+@query
+def svr(spark, sf):
+    d = S.supplier_cov(spark, sf)
+    d = d.withColumn("target", F.col("target") / 1000)
+    return classification.SVR("logeuclid").fit(d, "target").predict(d).select("id", "prediction")
+
+
+@query
+def potato(spark, sf):
+    d = S.part_cov(spark, sf)
+    m = artifacts.Potato(threshold=2).fit(d)
+    return m.predict_proba(m.predict(d)).select("id", "z", "prediction", "p")
+
+
+@query
+def potato_field(spark, sf):
+    d = S.part_cov(spark, sf, 4)
+    two = d.select("id", F.array(*(F.col("cov")[k] for k in (0, 1, 4, 5))).alias("a"), F.array(*(F.col("cov")[k] for k in (10, 11, 14, 15))).alias("b"))
+    return artifacts.PotatoField(2).fit(two, ["a", "b"]).predict(two, ["a", "b"]).select("id", "p", "prediction")
+
+
+@query
+def electrode_selection(spark, sf):
+    d = _epoch_covs(spark, sf)
+    return filters.ElectrodeSelection(4).fit(d, "y").transform(d).select("id", "cov")
+
+
+@query
+def flat_channel_remover(spark, sf):
+    e = S.embedding_epochs(spark, sf).withColumn("x", F.concat("x", F.array_repeat(F.lit(1.0), 8)))
+    return filters.FlatChannelRemover(9).fit(e).transform(e).select("id", "x")
+
+
+@query
+def kmeans(spark, sf):
+    d = S.part_cov(spark, sf).select("id", "cov")
+    return clustering.Kmeans(3, max_iter=10, n_init=1, metric="logeuclid").fit(d).predict(d).select("id", "prediction")
+
+
+@query
+def kmeans_per_class(spark, sf):
+    d = S.supplier_cov(spark, sf).select("id", "cov", F.col("domain").alias("y"))
+    return clustering.KmeansPerClassTransform(2, max_iter=5, n_init=1, metric="logeuclid").fit(d).transform(d).select("id", "distances")
+
+
+@query
+def mean_shift(spark, sf):
+    d = S.supplier_cov(spark, sf)
+    return clustering.MeanShift(metric="logeuclid", max_iter=20, seekers=50).fit(d).predict(d).select("id", "prediction")
+
+
+@query
+def gaussian_mixture(spark, sf):
+    d = S.part_cov(spark, sf)
+    m = clustering.GaussianMixture(2, maxiter=10, metric="logeuclid").fit(d)
+    return m.predict_proba(m.predict(d)).select("id", "prediction", "probabilities")
+
+
+@query
+def spectral_embedding(spark, sf):
+    return embedding.SpectralEmbedding().fit_transform(S.supplier_cov(spark, sf))
+
+
+@query
+def locally_linear_embedding(spark, sf):
+    return embedding.LocallyLinearEmbedding(2, 5).fit_transform(S.supplier_cov(spark, sf))
+
+
+@query
+def tsne(spark, sf):
+    return embedding.TSNE(2, metric="logeuclid", max_iter=30).fit_transform(S.supplier_cov(spark, sf))
+
+
+def _p(spark, name, p, scores):
+    return spark.createDataFrame([(name, float(p), len(scores))], "test string, p double, n int")
+
+
+for _mode in ("pairwise", "ttest", "ftest"):
+
+    def _run(spark, sf, mode=_mode):
+        d = S.supplier_cov(spark, sf)
+        if mode == "ttest":
+            d = d.withColumn("domain", F.when(F.col("domain") == "ASIA", "ASIA").otherwise("other"))
+        return _p(spark, mode, *stats.PermutationDistance(50, "logeuclid", mode).test(d, "domain"))
+
+    named(f"permutation_{_mode}")(_run)
+
+
+@query
+def permutation_model(spark, sf):
+    return _p(spark, "model", *stats.PermutationModel(20, metric="logeuclid").test(S.supplier_cov(spark, sf), "domain"))
+
+
+def _domains(spark, sf):
+    """Parts by price class, in the domain of their size."""
+    d = S.part_labels(spark, sf)
+    return d.select("id", "cov", F.when(F.col("target") > 1400, "dear").otherwise("cheap").alias("y"), F.when(F.col("p_size") > 25, "big").otherwise("small").alias("domain"))
+
+
+@query
+def tlcenter(spark, sf):
+    return transfer.TLCenter("big").fit_transform(_domains(spark, sf)).select("id", "domain", "cov")
+
+
+@query
+def tlscale(spark, sf):
+    return transfer.TLScale("big").fit_transform(_domains(spark, sf)).select("id", "domain", "cov")
+
+
+@query
+def tlrotate(spark, sf):
+    d = transfer.TLCenter("big").fit_transform(_domains(spark, sf))
+    return transfer.TLRotate("big").fit_transform(d).select("id", "domain", "cov")
+
+
+@query
+def tlrotate_vectors(spark, sf):
+    d = tangent.TangentSpace("logeuclid").fit_transform(_domains(spark, sf))
+    return transfer.TLRotate("big", vectors=True).fit_transform(d, col="tangent").select("id", "tangent")
+
+
+@query
+def tl_split(spark, sf):
+    return transfer.TLSplitter("big", 5).folds(_domains(spark, sf)).select("id", "domain", "fold")
+
+
+@query
+def tl_classifier(spark, sf):
+    d = _domains(spark, sf)
+    m = transfer.TLClassifier("big", classification.MDM("logeuclid"), {"big": 1.0, "small": 0.5})
+    return m.fit(d).predict(d).select("id", "prediction")
+
+
+@query
+def tl_regressor(spark, sf):
+    d = S.supplier_cov(spark, sf)
+    return transfer.TLRegressor("ASIA", classification.KNearestNeighborRegressor(5, "logeuclid")).fit(d, "target").predict(d).select("id", "prediction")
+
+
+@query
+def mdwm(spark, sf):
+    d = _domains(spark, sf)
+    return transfer.MDWM(0.5, "big").fit(d).predict(d).select("id", "prediction")
+
+
+@query
+def random_over_sampler(spark, sf):
+    return synthetic.random_over_sample(_domains(spark, sf).select("id", "cov", "y"))
+
+
+@query
+def sample_gaussian(spark, sf):
+    return synthetic.sample_gaussian(spark, 200, np.eye(2), 0.7, seed=1, partitions=4)
+
+
+@query
+def make_matrices(spark, sf):
+    sets = [synthetic.make_matrices(spark, 20, 3, k, partitions=2).withColumn("kind", F.lit(k)) for k in ("real", "inv", "orth", "sym", "spd", "spsd")]
+    out = sets[0]
+    for s in sets[1:]:
+        out = out.unionByName(s)
+    return out
+
+
+@query
+def make_complex_matrices(spark, sf):
+    return synthetic.make_matrices(spark, 50, 3, "hpd", partitions=2)
+
+
+@query
+def make_gaussian_blobs(spark, sf):
+    return synthetic.make_gaussian_blobs(spark, 50, seed=2)
+
+
+@query
+def make_outliers(spark, sf):
+    return synthetic.make_outliers(spark, 20, np.eye(2), 0.5, seed=3)
+
+
+@query
+def make_classification_transfer(spark, sf):
+    return synthetic.make_classification_transfer(spark, 25, theta=0.3, stretch=1.2, seed=4)
+
+
+@query
+def pairwise_summary(spark, sf):
+    p = pairwise_distance(S.supplier_cov(spark, sf), metric="thompson")
+    return p.agg(F.count("*").alias("pairs"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.max("d"), 6).alias("farthest"))
+
+
+def _stream_name(name):
+    import uuid
+
+    return f"{name}_{uuid.uuid4().hex[:8]}"
+
+
+@query
+def stream_windowed_cov(spark, sf):
+    e = read_events(spark, sf)
+    w = windowed_covariance(e, "ts", ["value", (F.col("user_id") % 97).cast("double")], ["event_type"], "1 day", "12 hours", "1 day")
+    return drain(w, _stream_name("windows"), "complete")
+
+
+@query
+def stream_online_mean(spark, sf):
+    e = read_events(spark, sf)
+    rows = e.select("event_type", "event_id", F.array(1 + F.abs("value"), F.lit(0.1), F.lit(0.1), 1 + (F.col("user_id") % 7).cast("double")).alias("cov"))
+    return drain(keyed_means(rows, "event_type", "event_id"), _stream_name("means"), "update")
+
+
+@query
+def stream_online_potato(spark, sf):
+    d = S.part_cov(spark, sf)
+    model = OnlinePotato(artifacts.Potato(threshold=3).fit(d.where("id % 2 = 0")), "id")
+    model(d.where("id % 2 = 1"), 0)
+    return spark.createDataFrame([(k, float(z)) for k, z in enumerate(model.scores)], "step int, z double")
+
+
+@query
+def stream_online_whitening(spark, sf):
+    d = S.part_cov(spark, sf)
+    model = OnlineWhitening(tangent.Whitening("riemann"), "id")
+    for k in range(3):
+        model(d.where(f"id % 3 = {k}"), k)
+    return model.model.transform(d).select("id", "cov")
+
+

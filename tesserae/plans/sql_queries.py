@@ -423,7 +423,7 @@ def class_distinctiveness_euclid(spark, sf):
 @query(
     f"""WITH {S2}, p AS (SELECT a.y AS ya, b.y AS yb, ({DIST["riemann"](A, B)}) ** 2 AS d2 FROM d a JOIN d b ON a.id < b.id), n AS (SELECT count(*) AS n, count(DISTINCT y) AS k FROM d), cn AS (SELECT y, count(*) AS n FROM d GROUP BY y),
 w AS (SELECT coalesce(sum(s / cn.n), 0) AS w FROM (SELECT ya, sum(d2) AS s FROM p WHERE ya = yb GROUP BY ya) JOIN cn ON cn.y = ya), t AS (SELECT sum(d2) AS t FROM p)
-SELECT round(((t / n - w) / (k - 1)) / (w / (n - k)), 9) AS f FROM t, n, w"""
+SELECT round(((t / n - w) / (k - 1)) / nullif(w / nullif(n - k, 0), 0), 9) AS f FROM t, n, w"""
 )
 def permanova_f(spark, sf):
     """Observed pseudo-F of nations, without collecting the pairs."""
@@ -435,7 +435,7 @@ def permanova_f(spark, sf):
     size = n.agg(F.sum("n").alias("n_all"), F.count("*").alias("k"))
     within = p.where("yi = yj").groupBy(F.col("yi").alias("y")).agg(F.sum("d2").alias("s")).join(n, "y").agg(F.coalesce(F.sum(F.col("s") / F.col("n")), F.lit(0.0)).alias("w"))
     t = p.agg(F.sum("d2").alias("t"))
-    return t.crossJoin(within).crossJoin(size).select(F.round(F.expr("((t / n_all - w) / (k - 1)) / (w / (n_all - k))"), 9).alias("f"))
+    return t.crossJoin(within).crossJoin(size).select(F.round(F.expr("((t / n_all - w) / (k - 1)) / nullif(w / nullif(n_all - k, 0), 0)"), 9).alias("f"))
 
 
 @query(f"WITH {S2} SELECT id, domain || '/' || y AS y_enc, y, domain FROM d")
