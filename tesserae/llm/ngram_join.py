@@ -9,18 +9,20 @@ Jaccard index is at least t, the symmetric difference is at most
 D = (1-t)/(1+t) * (|A|+|B|); among more than D blocks one is equal
 (pigeonhole), so texts that share no block in any band need no comparison.
 
-A text sends only its strong blocks (many bytes of n-grams), as long as they
-are more than D; equal blocks are equally strong, so nothing is lost: let A
+A text sends only its strong blocks (much information, by the frequencies of
+their n-grams in all documents), as long as they are more than D; equal blocks
+are equally strong, so nothing is lost: let A
 be whichever of a pair uses the higher level of LEVELS.  It sends more than D
 blocks of at least that strength, one of which equals B's block, and B sends
-all blocks of that strength.  Blocks of frequent short n-grams, which would
+all blocks of that strength.  Blocks of frequent n-grams alone, which would
 join texts that have nothing else in common, and empty blocks stay at home.
 
 Blocks move as packed keys to hash shards.  Every shared block names the
 smallest identifier in it, its leader.  First only parity sketches travel to the
 leaders, about one bit for each n-gram, of which each n-gram flips one: their
-Hamming distance, too, is at most the symmetric difference, so a text that is too far from all
-others of a leader needs no more of it.  The texts left travel to their leaders,
+Hamming distance, too, is at most the symmetric difference, so texts that are too far
+apart part there, and those that chains of possible pairs still join name the smallest
+identifier among them as their new leader.  Their texts travel to those leaders,
 where all pairs are verified exactly.  A pair is reported by the smallest leader
 that both have, so no distinct() over pairs is needed.  Groups beyond TILE texts
 are cut into tile pairs.
@@ -45,10 +47,12 @@ from tesserae.llm.pack import narrow, packed, unpacked, widened
 from tesserae.llm.shared import checkpoint
 from tesserae.llm.text import NOT_WORD, chunks, flat, fresh, gram_hashes, mix, pieces, rows_of, shards, word_hashes, words
 
-N, T = 2, 0.75
-LEVELS = (40, 32, 28, 24, 20, 18, 16, 14, 12, 10, 8, 6, 4, 2, 0)
+N, T = 2, 0.7
+CELLS = 1 << 20  # of the frequency sketch
+LEVELS = (30, 24, 20, 16, 14, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0)  # bits
 TILE = 2048
 U = np.uint64
+NONE = np.iinfo(np.int64).min
 PAIRS = "doc_id_a long, doc_id_b long, jaccard double"
 
 
@@ -85,7 +89,39 @@ def distance_bound(size: np.ndarray, hi: np.ndarray, t: float) -> np.ndarray:
     return np.floor((1 - t) / (1 + t) * (size + np.minimum(hi, np.floor(size / t + 1e-9))) + 1e-9).astype(np.int64)
 
 
-def block_keys(grams: np.ndarray, off: np.ndarray, t: float) -> tuple[np.ndarray, np.ndarray]:
+def _cells(grams: np.ndarray) -> np.ndarray:
+    return ((grams >> U(6)) & U(CELLS - 1)).astype(np.int64)
+
+
+def information(docs: DataFrame, n: int) -> np.ndarray:
+    """Bits of information of an n-gram, log2(documents / documents that hold it), by cell of a one-row count sketch over all documents.
+
+    Cells that n-grams share overestimate frequencies, which lowers strengths and
+    nothing else.  The sketch has a fixed size: tasks send their counts in slices, and one byte a cell comes back.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        rows = 0
+        for batch in batches:
+            rows += batch.num_rows
+            for a, b in chunks(batch.column(0)):
+                total += np.bincount(_cells(gram_sets(batch.column(0).slice(a, b - a), n)[0]), minlength=CELLS)
+        if rows:
+            parts = np.split(total.astype("<u4"), 16)
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(16), pa.int32()), "rows": [rows] * 16, "counts": [p.tobytes() for p in parts]})
+
+    def add(table: pa.Table) -> pa.Table:
+        rows = sum(table["rows"].to_pylist())
+        total = np.sum([np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist()], 0)
+        bits = np.clip(np.round(np.log2(np.maximum(rows, 1) / np.maximum(total, 1))), 0, 40).astype(np.uint8)
+        return pa.table({"slice": table["slice"].slice(0, 1), "bits": [bits.tobytes()]})
+
+    got = docs.select("text").mapInArrow(count, "slice int, rows long, counts binary").groupBy("slice").applyInArrow(add, "slice int, bits binary").collect()
+    return np.frombuffer(b"".join(r.bits for r in sorted(got, key=lambda r: r.slice)), np.uint8) if got else np.zeros(CELLS, np.uint8)
+
+
+def block_keys(grams: np.ndarray, off: np.ndarray, t: float, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of the blocks that the rows send, and the row of each.
 
     A row sends its blocks in its own band and, if it may be the smaller of a
@@ -116,7 +152,7 @@ def block_keys(grams: np.ndarray, off: np.ndarray, t: float) -> tuple[np.ndarray
         cut = np.flatnonzero(np.r_[True, slot[order][1:] != slot[order][:-1]])
         x = np.zeros(first[-1], np.uint64)
         x[slot[order][cut]] = np.bitwise_xor.reduceat(mix(g ^ U(0x7F4A7C159E3779B9))[order], cut)
-        strength = np.bincount(slot, weights=(grams[own] & U(63)).astype(np.float64) * 2 + 2, minlength=first[-1])
+        strength = np.bincount(slot, weights=bits[_cells(grams[own])], minlength=first[-1])
         of = np.repeat(r, k[r])
         index = np.arange(first[-1]) - place[of]
         send = np.zeros(first[-1], bool)
@@ -163,41 +199,36 @@ def _fold(bits: bytes, width: int) -> np.ndarray:
     return np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, width // 64), 0)
 
 
-def _close_to_another(size, bits, tile, across: bool, leaders, leader: int, t: float) -> np.ndarray:
-    """Rows whose Hamming distance to another row allows Jaccard >= t; the distance never exceeds the symmetric difference.
+def _close_roots(ids, size, bits, t: float) -> np.ndarray:
+    """For every row the smallest identifier of the rows that chains of possible pairs join to it in this group; NONE if there are none.
 
-    A pair counts at the smallest leader that both have, and only there.
+    A pair is possible if its Hamming distance, which never exceeds the symmetric difference, allows Jaccard >= t.
     """
     n = len(size)
-    smaller: dict[int, frozenset] = {}
-
-    def before(k):
-        if k not in smaller:
-            smaller[k] = frozenset(x for x in leaders[k] if x < leader)
-        return smaller[k]
-
-    keep = np.zeros(n, bool)
-    order = np.argsort(size, kind="stable")
-    size, tile = size[order].astype(np.int64), tile[order]
-    lo = 0
-    while lo < n:  # from one size on, those that it may pair with
-        hi = int(np.searchsorted(size, 2 * size[lo], "right"))
-        end = int(np.searchsorted(size, np.floor(size[hi - 1] / t + 1e-9), "right"))
-        width = 8 * min(len(bits[order[lo]]), len(bits[order[hi - 1]]))
-        x = np.stack([_fold(bits[i], width) for i in order[lo:end]])
-        for i in range(lo, hi):
-            j = int(np.searchsorted(size, np.floor(size[i] / t + 1e-9), "right"))
-            if j <= i + 1:
-                continue
-            d = np.bitwise_count(x[i - lo] ^ x[i + 1 - lo : j - lo]).sum(1)
-            ok = d <= np.floor((1 - t) / (1 + t) * (size[i] + size[i + 1 : j]) + 1e-9)
-            if across:
-                ok &= tile[i + 1 : j] != tile[i]
-            for k in order[i + 1 : j][ok]:
-                if not (keep[order[i]] and keep[k]) and before(order[i]).isdisjoint(before(k)):
-                    keep[order[i]] = keep[k] = True
-        lo = hi
-    return keep
+    size = size.astype(np.int64)
+    width = np.array([8 * len(x) for x in bits])
+    level = {w: np.stack([_fold(x, w) if len(x) * 8 >= w else np.zeros(w // 64, np.uint64) for x in bits]) for w in np.unique(width).tolist()}
+    root = np.full(n, NONE)
+    free = np.ones(n, bool)
+    for first in range(n):
+        if not free[first]:
+            continue
+        free[first] = False
+        members, at = [first], 0
+        while at < len(members):
+            i = members[at]
+            at += 1
+            j = np.flatnonzero(free & (size >= t * size[i] - 1e-9) & (size <= size[i] / t + 1e-9))
+            for w, x in level.items():
+                k = j[np.minimum(width[j], width[i]) == w] if w <= width[i] else j[:0]
+                if len(k):
+                    d = np.bitwise_count(x[k] ^ x[i]).sum(1)
+                    k = k[d <= np.floor((1 - t) / (1 + t) * (size[i] + size[k]) + 1e-9)]
+                    free[k] = False
+                    members += k.tolist()
+        if len(members) > 1:
+            root[members] = ids[members].min()
+    return root
 
 
 def _groups(batches: Iterator[pa.RecordBatch], at_bytes: int = 16 << 20) -> Iterator[tuple[pa.Table, np.ndarray]]:
@@ -227,14 +258,16 @@ def _groups(batches: Iterator[pa.RecordBatch], at_bytes: int = 16 << 20) -> Iter
         yield table, cut(table)
 
 
-def _to_leaders(rows: DataFrame, edges: DataFrame, payload: list[str]) -> DataFrame:
-    """Every row at each of its leaders, group by group; groups beyond TILE rows as pairs of tiles."""
+def _to_leaders(rows: DataFrame, edges: DataFrame, payload: list[str], named: bool = False) -> DataFrame:
+    """Every row at each of its leaders (named: with the list of them), group by group; groups beyond TILE rows as pairs of tiles."""
     tiles = edges.groupBy("leader").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"))
     per_doc = edges.join(tiles, "leader").groupBy("doc_id").agg(F.collect_list(F.struct("leader", "tiles")).alias("to"))
-    sent = rows.join(per_doc, "doc_id").select("doc_id", *payload, F.col("to.leader").alias("leaders"), F.explode("to").alias("to"))
+    named = [F.col("to.leader").alias("leaders")] if named else []
+    sent = rows.join(per_doc, "doc_id").select("doc_id", *payload, *named, F.explode("to").alias("to"))
+    payload = [*payload, *(["leaders"] if named else [])]
     tile = F.pmod(F.xxhash64("doc_id"), F.col("to.tiles")).cast("int")
-    sent = sent.select("doc_id", *payload, "leaders", F.col("to.leader").alias("leader"), tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("to.tiles") - 1)).alias("other"))
-    sent = sent.select("doc_id", *payload, "leaders", "leader", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
+    sent = sent.select("doc_id", *payload, F.col("to.leader").alias("leader"), tile.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("to.tiles") - 1)).alias("other"))
+    sent = sent.select("doc_id", *payload, "leader", "tile", F.least("tile", "other").alias("ti"), F.greatest("tile", "other").alias("tj"))
     return sent.repartition("leader", "ti", "tj").sortWithinPartitions("leader", "ti", "tj", "doc_id")
 
 
@@ -303,13 +336,14 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
     parts = shards(docs)
+    bits = docs.sparkSession.sparkContext.broadcast(information(docs, n))  # 1 MB at any scale
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(batch):
             ids, col = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             keys, who = [], []
             for a, b in chunks(col):
-                k, r = block_keys(*gram_sets(col.slice(a, b - a), n), t)
+                k, r = block_keys(*gram_sets(col.slice(a, b - a), n), t, bits.value)
                 keys.append(k)
                 who.append(ids[a:b][r])
             if keys:
@@ -326,22 +360,19 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
             for a, b in chunks(batch.column(1)):
                 g, off = gram_sets(batch.column(1).slice(a, b - a), n)
                 keep = np.flatnonzero(np.diff(off))
-                bits = parity_sketches(g, off)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(keep)), pa.array(np.diff(off)[keep].astype(np.int32)), pa.array([bits[i] for i in keep], pa.binary())], names=["doc_id", "size", "bits"])
+                flips = parity_sketches(g, off)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(pa.array(keep)), pa.array(np.diff(off)[keep].astype(np.int32)), pa.array([flips[i] for i in keep], pa.binary())], names=["doc_id", "size", "bits"])
 
     def sieve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cut in _groups(batches):
-            ids, size, tile, bits = table["doc_id"].to_numpy(), table["size"].to_numpy(), table["tile"].to_numpy(), table["bits"].to_pylist()
-            lead, ti, tj = (table[c].to_numpy() for c in ("leader", "ti", "tj"))
-            leaders = table["leaders"].to_pylist()
-            keep = np.zeros(len(ids), bool)
-            for a, b in zip(cut[:-1], cut[1:]):
-                keep[a:b] = _close_to_another(size[a:b], bits[a:b], tile[a:b], ti[a] != tj[a], leaders[a:b], lead[a], t)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(lead[keep])], names=["doc_id", "leader"])
-
-    bits = docs.mapInArrow(parity, "doc_id long, size int, bits binary")
-    close = checkpoint(_to_leaders(bits, edges, ["size", "bits"]).mapInArrow(sieve, "doc_id long, leader long").distinct())
-    sent = _to_leaders(docs, close, ["text"])
+            ids, size, bits = table["doc_id"].to_numpy(), table["size"].to_numpy(), table["bits"].to_pylist()
+            root = np.concatenate([_close_roots(ids[a:b], size[a:b], bits[a:b], t) for a, b in zip(cut[:-1], cut[1:])])
+            keep = root != NONE
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(root[keep])], names=["doc_id", "leader"])
+
+    sketches = docs.mapInArrow(parity, "doc_id long, size int, bits binary")
+    close = checkpoint(_to_leaders(sketches, edges, ["size", "bits"]).mapInArrow(sieve, "doc_id long, leader long").distinct())
+    sent = _to_leaders(docs, close, ["text"], named=True)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, cut in _groups(batches):
