@@ -131,11 +131,14 @@ def extract(source: str) -> str:
     take = [False] * n
     for i in range(best, n):
         take[i] = i == best or (i > best and take[parent[i]] and (density[i] >= low or not chars[i] or tag[i] not in BLOCK))
-    out, seen = [], best
+    block = [0] * n  # the nearest enclosing block
+    for i in range(1, n):
+        block[i] = i if tag[i] in BLOCK else block[parent[i]]
+    out, seen, last = [], best, best
     for before, at, text in tree.pieces:
         if not take[at]:
             continue
-        if any(tag[k] in BLOCK for k in range(max(seen, best + 1), before)) or (out and at != last and tag[last] in BLOCK):
+        if block[at] != block[last] or any(tag[k] in BLOCK for k in range(max(seen, best + 1), before)):
             out.append("\n")
         seen, last = before, at
         out.append(text)

@@ -70,7 +70,7 @@ def _slide(x: np.ndarray, n: int, f, fill) -> np.ndarray:
     while have < n:
         step = min(have, n - have)
         moved = np.full_like(out, fill)
-        moved[: len(out) - step] = out[step:]
+        moved[: max(0, len(out) - step)] = out[step:]
         out, have = f(out, moved), have + step
     return out
 
