@@ -48,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.pack import narrow, packed, unpacked, widened
+from tesserae.llm.pack import packed_runs, unpacked, widened
 from tesserae.llm.shared import checkpoint
 from tesserae.llm.text import NOT_WORD, chunks, flat, fresh, gram_hashes, mix, pieces, rows_of, shards, word_hashes, words
 
@@ -197,37 +197,50 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _edges(table: pa.Table) -> pa.Table:
     """(doc_id, leader) of the texts that share a block and, by their signatures, may be alike; the leader is the smallest of those that such pairs chain."""
-    key, doc = widened(table), unpacked(table["p2"], np.int64)
-    lo, hi = unpacked(table["p3"], np.uint64), unpacked(table["p4"], np.uint64)
-    order = np.lexsort((doc, key))
-    key, doc, lo, hi = key[order], doc[order], lo[order], hi[order]
-    first = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
-    start = np.flatnonzero(first)
-    rank = np.arange(len(key)) - (start[np.cumsum(first) - 1] if len(key) else 0)
+    key, doc = widened(table), unpacked(table["p3"], np.int64)
+    lo, hi = unpacked(table["p4"], np.uint64), unpacked(table["p5"], np.uint64)
+    run = np.repeat(np.arange(len(doc), dtype=np.int32), unpacked(table["p2"], np.uint32))
+    alike = np.lexsort((doc, lo, hi))  # rows by signature, then by document
+    place = np.empty(len(doc), np.int64)
+    place[alike] = np.arange(len(doc))
+    order = np.lexsort((place[run], key))
+    key, run = key[order], run[order]
+    if not len(key):
+        return pa.table({"doc_id": pa.array([], pa.int64()), "leader": pa.array([], pa.int64())})
+    block = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
+    copy = np.r_[False, (block[1:] == block[:-1]) & (lo[run[1:]] == lo[run[:-1]]) & (hi[run[1:]] == hi[run[:-1]])]
+    head = np.flatnonzero(~copy)  # one row for each signature in a block
+    of_head = np.cumsum(~copy) - 1
+    inner = block[head]
+    start = np.flatnonzero(np.r_[True, inner[1:] != inner[:-1]])
+    rank = np.arange(len(head)) - np.repeat(start, np.diff(np.r_[start, len(head)]))
     upto = np.r_[0, np.cumsum(rank)]
+    lo, hi = lo[run[head]], hi[run[head]]
     left, right, at = [], [], 0
-    while at < len(key):  # every text with those before it in its block, some million pairs at a time
-        end = max(at + 1, int(np.searchsorted(upto, upto[at] + (2 << 20), "right")) - 1)
+    while at < len(head):  # every signature with those before it in its block, half a million pairs at a time
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + (1 << 19), "right")) - 1)
         n = rank[at:end]
         i = np.repeat(np.arange(at, end), n)
         j = np.repeat(np.arange(at, end) - n, n) + (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
         ok = _agree(lo[i], lo[j]) + _agree(hi[i], hi[j]) >= AGREE
-        left.append(j[ok])
-        right.append(i[ok])
+        left.append(j[ok].astype(np.int32))
+        right.append(i[ok].astype(np.int32))
         at = end
-    i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    label = np.arange(len(key))
-    while True:
-        least = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, least)
-        np.minimum.at(new, j, least)
-        if np.array_equal(new, label):
+    i, j = (np.concatenate(x) for x in (left, right))
+    least = np.full(len(head), np.iinfo(np.int64).max)
+    np.minimum.at(least, of_head, doc[run])
+    while True:  # the smallest document of each chain
+        low = np.minimum(least[i], least[j])
+        new = least.copy()
+        np.minimum.at(new, i, low)
+        np.minimum.at(new, j, low)
+        if np.array_equal(new, least):
             break
-        label = new
-    use = np.zeros(len(key), bool)
+        least = new
+    use = np.bincount(of_head, minlength=len(head)) > 1
     use[i] = use[j] = True
-    pair = np.unique(np.stack([doc[use], doc[label[use]]], 1), axis=0)
+    use = use[of_head]
+    pair = np.unique(np.stack([doc[run[use]], least[of_head[use]]], 1), axis=0)
     return pa.table({"doc_id": pa.array(pair[:, 0], pa.int64()), "leader": pa.array(pair[:, 1], pa.int64())})
 
 
@@ -389,19 +402,22 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(batch):
             ids, col = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
-            keys, who = [], []
+            keys, rows, lo, hi = [], [], [], []
             for a, b in chunks(col):
                 sets = gram_sets(col.slice(a, b - a), n)
                 k, r = block_keys(*sets, t, bits.value)
-                keys.append(k)
-                who.append((ids[a:b][r].astype(np.int64), *(x[r] for x in signatures(*sets))))
+                order = np.argsort(r, kind="stable")
+                keys.append(k[order])
+                rows.append(r[order] + a)
+                for whole, part in zip((lo, hi), signatures(*sets)):
+                    whole.append(part)
             if keys:
-                key = np.concatenate(keys)
-                yield packed(key, [*narrow(key), *(np.concatenate(x) for x in zip(*who))], parts)
+                of_row = [ids.astype(np.int64), np.concatenate(lo), np.concatenate(hi)]
+                yield packed_runs(np.concatenate(keys), np.concatenate(rows), of_row, parts)
 
         yield from pieces(batches, make)
 
-    edges = docs.mapInArrow(sketch, "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary").groupBy("shard").applyInArrow(_edges, "doc_id long, leader long")
+    edges = docs.mapInArrow(sketch, "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary, p5 binary").groupBy("shard").applyInArrow(_edges, "doc_id long, leader long")
     edges = checkpoint(edges.distinct())
 
     def parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,23 @@ def packed(key: np.ndarray, payload: list[np.ndarray], n: int) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(cols, names=["shard", *(f"p{i}" for i in range(len(payload)))])
 
 
+def packed_runs(key: np.ndarray, row: np.ndarray, of_row: list[np.ndarray], n: int) -> pa.RecordBatch:
+    """packed() of 40 bits of the keys, with what belongs to a row (ascending in `row`) once for each run of its keys in a shard: keys as p0 and p1, run lengths as p2, then of_row."""
+    shard = (key % U(n)).astype(np.int32)
+    order = np.argsort(shard, kind="stable")
+    key, row, shard = key[order], row[order], shard[order]
+    run = np.flatnonzero(np.r_[True, (shard[1:] != shard[:-1]) | (row[1:] != row[:-1])]) if len(key) else np.zeros(0, np.int64)
+    cut = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(key) else np.zeros(0, np.int64)
+    run_cut = np.r_[np.searchsorted(run, cut), len(run)]
+    cut = np.r_[cut, len(key)]
+    cols: list[pa.Array] = [pa.array(shard[cut[:-1]], pa.int32())]
+    runs = [np.diff(np.r_[run, len(key)]).astype(np.uint32), *(x[row[run]] for x in of_row)]
+    for x, bounds in [*((k, cut) for k in narrow(key)), *((x, run_cut) for x in runs)]:
+        data = np.ascontiguousarray(x)
+        cols.append(pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((bounds * data.itemsize).astype(np.int32)), pa.py_buffer(data)]))
+    return pa.RecordBatch.from_arrays(cols, names=["shard", *(f"p{i}" for i in range(len(cols) - 1))])
+
+
 def narrow(key: np.ndarray) -> list[np.ndarray]:
     """40 bits of the keys; within a shard that is enough to tell blocks apart, as false matches are verified."""
     return [(key >> U(32)).astype(np.uint32), (key >> U(24)).astype(np.uint8)]
