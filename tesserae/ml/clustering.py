@@ -138,7 +138,7 @@ class MeanShift(Estimator):
         else:
             self.bandwidth_ = self.bandwidth
         h = self.bandwidth_
-        modes = _sample(df, col, self.seekers, 0, id_)
+        modes = _sample(df, col, self.seekers, 0, id_).copy()
         live = np.arange(len(modes))
         rows = df.select(F.lit("").alias("key"), F.lit(1.0).alias("w"), F.col(col).alias("m"))
         p2 = modes[0].size

@@ -88,7 +88,7 @@ def _with_gaps(spark, sf):
 
 @query
 def nanmean_riemann(spark, sf):
-    return _matrices(spark, {"mean": maskedmean_riemann(_with_gaps(spark, sf)).matrix})
+    return _matrices(spark, {"mean": maskedmean_riemann(_with_gaps(spark, sf), tol=1e-5, maxiter=15).matrix})
 
 
 @query
@@ -99,7 +99,7 @@ def masks_from_nan(spark, sf):
 @query
 def maskedmean(spark, sf):
     d = fn.nan_masks(_with_gaps(spark, sf))
-    return _matrices(spark, {"mean": maskedmean_riemann(d, keep="keep").matrix})
+    return _matrices(spark, {"mean": maskedmean_riemann(d, keep="keep", tol=1e-5, maxiter=15).matrix})
 
 
 @query

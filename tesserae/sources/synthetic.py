@@ -150,7 +150,7 @@ def make_gaussian_blobs(spark, n=100, p=2, class_sep=1.0, class_disp=1.0, seed=0
         t = rng.normal(size=p * (p + 1) // 2)
         t *= class_sep * class_disp / np.linalg.norm(t)
         centers = np.stack([a, G.untangent_space(t, a, "riemann")])
-    return generate(spark, 2 * n, lambda r, i: (one_gaussian(r, centers[i >= n], class_disp), int(i >= n)), seed, columns="y int")
+    return generate(spark, 2 * n, lambda r, i: (one_gaussian(r, centers[int(i >= n)], class_disp), int(i >= n)), seed, columns="y int")
 
 
 def make_outliers(spark, n, mean, sigma, outlier_coeff=10, seed=0):
