@@ -51,7 +51,8 @@ def generate(spark: SparkSession, n: int, make, seed: int = 0, kind: str = "matr
             extra = [list(x) for x in zip(*(g[1:] for g in got))] if isinstance(got[0], tuple) else []
             x = np.stack([g[0] if isinstance(g, tuple) else g for g in got])
             names = [c.split()[0] for c in columns.split(",") if c.strip()]
-            yield pa.RecordBatch.from_arrays([b.column(0), encode(x, kind), *(pa.array(v) for v in extra)], names=["id", "cov", *names])
+            types = [{"int": pa.int32(), "string": pa.string()}[c.split()[1]] for c in columns.split(",") if c.strip()]
+            yield pa.RecordBatch.from_arrays([b.column(0), encode(x, kind), *(pa.array(v, t) for v, t in zip(extra, types))], names=["id", "cov", *names])
 
     from pyspark.sql.types import LongType, StructField, StructType
 

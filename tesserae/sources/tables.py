@@ -82,7 +82,7 @@ def read_signal_csv(spark: SparkSession, path: str, channels: list[str], key: st
 
 def long_to_epochs(df: DataFrame, channels: list[str], key: str = "epoch", t: str = "t") -> DataFrame:
     g = df.groupBy(F.col(key).alias("id")).agg(F.sort_array(F.collect_list(F.struct(t, *channels))).alias("s"))
-    return g.select("id", F.concat(*(F.transform("s", lambda v, c=c: v[c]) for c in channels)).alias("x"))
+    return g.select("id", F.concat(*(F.col("s")[c] for c in channels)).alias("x"))
 
 
 def epochs_to_long(df: DataFrame, channels: int, col: str = "x") -> DataFrame:
