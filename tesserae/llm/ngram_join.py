@@ -333,9 +333,12 @@ def _to_leaders(rows: DataFrame, edges: DataFrame, payload: list[str], named: bo
 
 
 def _verify_group(ids, sets, leaders, tiles, leader, ti, tj, t, expand) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs of one group, all of which name this leader."""
-    of: dict[bytes, int] = {}
-    kind = np.array([of.setdefault(s.tobytes(), len(of)) for s in sets])
+    """Pairs of one group, all of which name this leader.
+
+    Texts with equal sets are one class only if they name the same leaders: the smallest leader that two texts share depends on both.
+    """
+    of: dict[tuple[bytes, frozenset], int] = {}
+    kind = np.array([of.setdefault((s.tobytes(), frozenset(x)), len(of)) for s, x in zip(sets, leaders)])
     rep = np.full(len(of), -1)
     for i in range(len(ids) - 1, -1, -1):
         rep[kind[i]] = i
@@ -392,7 +395,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
     """All pairs doc_id_a < doc_id_b whose n-gram sets have Jaccard index >= t, with the index.
 
     expand=False gives the same result in factored form, for clustering: texts with
-    equal sets are linked to one of them, and one pair stands for all pairs of
+    equal sets and leaders are linked to one of them, and one pair stands for all pairs of
     two such classes.  The defined results are in the module's docstring.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")

@@ -89,6 +89,23 @@ def test_near_pairs_in_tiles(spark, monkeypatch):
     assert len(got) == len({(r[0], r[1]) for r in got}) and {(r[0], r[1]) for r in got} == set(brute_pairs(rows))
 
 
+def test_equal_texts_with_different_leaders(spark, monkeypatch):
+    """In chains over three tiles and more, equal texts meet different texts in their tiles and so get different leaders."""
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    ids = random.Random(8).sample(range(1000), 36)
+    rows = [(i, " ".join(f"w{k}" for k in range(3 * (n // 4), 3 * (n // 4) + 40))) for n, i in enumerate(ids)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [(r[0], r[1]) for r in ngram_join.ngram_jaccard_join(df).collect()]
+    want = set(brute_pairs(rows))
+    assert len(got) == len(set(got)) and set(got) == want
+    linked = {(r[0], r[1]) for r in ngram_join.ngram_jaccard_join(df, expand=False).collect()}
+    group = {i: i for i in ids}
+    for _ in ids:
+        for a, b in linked:
+            group[a] = group[b] = min(group[a], group[b])
+    assert linked <= want and set(group.values()) == {min(ids)}
+
+
 @pytest.mark.parametrize("t", [0.5, 0.7, 0.8, 0.95])
 def test_blocks_never_lose_a_pair(t):
     """Any two sets with Jaccard >= t share a key, whatever the strengths."""
