@@ -19,10 +19,10 @@ join texts that have nothing else in common, and empty blocks stay at home.
 
 Blocks move as packed keys to hash shards.  At 0.7 a block holds two n-grams or
 so, hence many unrelated texts share one block; a signature of 32 smallest hashes,
-4 bits each, goes with the keys, and pairs of which fewer than AGREE fields are equal are
-left there.  This is the one step that isn't exact: a pair with Jaccard 0.7 has 23
-equal fields on average and is lost with a probability of about 1e-6, unrelated texts pass
-with 5e-6.  The texts of a block that such pairs chain name the
+4 bits each, goes with the keys, and pairs of which fewer than agree(t) fields are equal are
+left there.  This is the one step that isn't exact: agree(t) is the largest number with which
+a pair at Jaccard t is lost with a probability under LOSS by the binomial distribution; at 0.7 it is 10 (23
+fields are equal on average), and unrelated texts pass with 2e-5.  Below 0.3 or so it is 0 and nothing is left.  The texts of a block that such pairs chain name the
 smallest identifier among them as their leader.  First only parity sketches travel to the
 leaders, about one bit for each n-gram, of which each n-gram flips one: their
 Hamming distance, too, is at most the symmetric difference, so texts that are too far
@@ -42,6 +42,7 @@ Columns other than doc_id and text are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +59,7 @@ LEVELS = (30, 24, 20, 16, 14, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0)  # bits
 TILE = 2048
 U = np.uint64
 NONE = np.iinfo(np.int64).min
-AGREE = 11  # of 32 signature fields: unrelated texts have 2, at Jaccard 0.7 they have 23
+LOSS = 1e-6  # of a pair at the threshold, by its signature
 PAIRS = "doc_id_a long, doc_id_b long, jaccard double"
 
 
@@ -187,6 +188,18 @@ def signatures(grams: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return both[:, 0], both[:, 1]
 
 
+def agree(t: float) -> int:
+    """Of 32 signature fields the largest number that all but LOSS of the pairs at Jaccard t reach; a field is equal by a common n-gram or by chance."""
+    p = t + (1 - t) / 16
+    lost, k = 0.0, 0
+    while k < 32:
+        lost += comb(32, k) * p**k * (1 - p) ** (32 - k)
+        if lost >= LOSS:
+            break
+        k += 1
+    return k
+
+
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """How many of 16 fields of 4 bits are equal."""
     x = a ^ b
@@ -195,7 +208,7 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 16 - np.bitwise_count(x & U(0x1111111111111111)).astype(np.int64)
 
 
-def _edges(table: pa.Table) -> pa.Table:
+def _edges(table: pa.Table, least_agree: int) -> pa.Table:
     """(doc_id, leader) of the texts that share a block and, by their signatures, may be alike; the leader is the smallest of those that such pairs chain."""
     key, doc = widened(table), unpacked(table["p3"], np.int64)
     lo, hi = unpacked(table["p4"], np.uint64), unpacked(table["p5"], np.uint64)
@@ -222,7 +235,7 @@ def _edges(table: pa.Table) -> pa.Table:
         n = rank[at:end]
         i = np.repeat(np.arange(at, end), n)
         j = np.repeat(np.arange(at, end) - n, n) + (np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n))
-        ok = _agree(lo[i], lo[j]) + _agree(hi[i], hi[j]) >= AGREE
+        ok = _agree(lo[i], lo[j]) + _agree(hi[i], hi[j]) >= least_agree
         left.append(j[ok].astype(np.int32))
         right.append(i[ok].astype(np.int32))
         at = end
@@ -399,7 +412,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
     two such classes.  The defined results are in the module's docstring.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null and text is not null")
-    parts = shards(docs)
+    parts, least_agree = shards(docs), agree(t)
     bits = docs.sparkSession.sparkContext.broadcast(information(docs, n))  # 1 MB at any scale
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -420,7 +433,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
 
         yield from pieces(batches, make)
 
-    edges = docs.mapInArrow(sketch, "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary, p5 binary").groupBy("shard").applyInArrow(_edges, "doc_id long, leader long")
+    edges = docs.mapInArrow(sketch, "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary, p5 binary").groupBy("shard").applyInArrow(lambda table: _edges(table, least_agree), "doc_id long, leader long")
     edges = checkpoint(edges.distinct())
 
     def parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

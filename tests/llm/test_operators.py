@@ -106,6 +106,16 @@ def test_equal_texts_with_different_leaders(spark, monkeypatch):
     assert linked <= want and set(group.values()) == {min(ids)}
 
 
+def test_signatures_lose_no_pair_at_a_low_threshold(spark):
+    assert [ngram_join.agree(t) for t in (0.2, 0.4, 0.5, 0.7, 1.0)] == [0, 2, 4, 10, 32]
+    rows = []
+    for k in range(150):  # 58 common bigrams of 142
+        common = [f"c{k}x{i}" for i in range(59)]
+        rows += [(2 * k + half, " ".join([*common, *(f"d{k}y{half}z{i}" for i in range(42))])) for half in (0, 1)]
+    got = {(r[0], r[1]) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), t=0.4).collect()}
+    assert got == {(2 * k, 2 * k + 1) for k in range(150)}
+
+
 @pytest.mark.parametrize("t", [0.5, 0.7, 0.8, 0.95])
 def test_blocks_never_lose_a_pair(t):
     """Any two sets with Jaccard >= t share a key, whatever the strengths."""
