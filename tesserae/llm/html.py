@@ -8,7 +8,7 @@ content; the smallest density on the path from the body to it is the threshold b
 subtrees inside it (menus, share bars) are left out.
 
 The parser keeps the rules that matter for real pages: void elements, raw text of
-scripts and styles, comments, optional end tags of p, li, td and the like, unclosed
+scripts and styles, skipped elements (svg, iframe, noscript, template; empty if self-closed svg or without an end tag of their own), comments, optional end tags of p, li, td and the like, unclosed
 and crossed tags.  Pages never fail; what can't be a tag is text.
 
 Defined results: null html gives null text; empty html, and pages without text, give ''.
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "iframe", "svg")}
+RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
+#: Elements that are left out whole, by the opening and end tags of their name.
+SKIPPED = {t: re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?){t}(?=[\s/>])((?:[^'">]|"[^"]*"|'[^']*')*)>""", re.I | re.S) for t in ("noscript", "template", "iframe", "svg")}
 BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 #: Opening one of these ends an open one of its set, within the nearest of the given ancestors.
 ENDS = {
@@ -40,6 +42,18 @@ ENDS = {
 SPACES = re.compile(r"[ \t\r\f\v ]*\n\s*|[ \t\r\f\v ]+")
 
 
+def _ends(source: str, name: str) -> dict[int, int]:
+    """For every opening tag of this name, by the place behind it, the place behind its own end tag; those without one are missing."""
+    ends, opened = {}, []
+    for m in SKIPPED[name].finditer(source):
+        if m[1]:
+            if opened:
+                ends[opened.pop()] = m.end()
+        elif m[1] is not None and not (name == "svg" and m[2].endswith("/")):
+            opened.append(m.end())
+    return ends
+
+
 class Tree:
     """Nodes in document order: tag, parent, and the text pieces (node, text) between them."""
 
@@ -47,6 +61,7 @@ class Tree:
         self.tag, self.parent, self.pieces, self.body = ["#root"], [-1], [], 0
         tag, parent, pieces = self.tag, self.parent, self.pieces
         stack, at, find = [0], 0, TOKEN.search
+        ends: dict[str, dict[int, int]] = {}
 
         def add(text: str) -> None:
             if text.strip():
@@ -88,6 +103,10 @@ class Tree:
             if name in RAW:
                 end = RAW[name].search(source, at)
                 at = end.end() if end else len(source)
+            elif name in SKIPPED:
+                if name not in ends:
+                    ends[name] = _ends(source, name)
+                at = ends[name].get(at, at)
             elif name not in VOID and not m[3].endswith("/"):
                 stack.append(len(tag) - 1)
 

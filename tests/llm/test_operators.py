@@ -350,6 +350,17 @@ def test_html():
     assert html.extract("plain text") == "plain text"
 
 
+def test_html_skipped_elements_end():
+    before, after = "Words before it, a good deal of them. ", "Words after it, a good deal of them."
+    for odd in ("<svg viewBox='0 0 1 1'/>", "<svg/>", "<svg>", "<iframe src=x>", "<noscript>", "<template>", "<svg><svg><title>t</title></svg>", "<svg><svg/><title>t</title></svg>", "<svg><svg></svg><title>t</title></svg>", "<noscript>t</noscript>", "<!-- <svg> --><svg>t</svg>"):
+        got = html.extract(f"<body><div><p>{before}{odd}{after}</p></div></body>")
+        assert before.strip() in got and after in got, odd
+    one = html.extract(f"<body><p>{before}<svg><p>{after}<svg><title>hidden</title></svg></p></body>")
+    assert after in one and "hidden" not in one
+    assert html.extract("<p>a b<svg><svg></svg><title>hidden</title></svg> c</p>") == "a b c"
+    assert isinstance(html.extract("<svg>" * 20_000 + "x"), str)
+
+
 def test_html_finds_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     good = 0
