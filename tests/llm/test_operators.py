@@ -271,6 +271,22 @@ def test_language_awkward(awkward, docs):
     assert not langid.identify(docs.limit(150).unionByName(docs.sparkSession.createDataFrame([(-1, junk, "en", "a", 1)], DOCS))).where("doc_id = -1 and confidence > 1").count()
 
 
+def test_language_rejects_what_is_in_none(spark):
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(1)
+    junk = [
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto. " * 4,
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem. " * 4,
+        'int main(int argc, char **argv) { for (int i = 0; i < argc; i++) { printf("%s", argv[i]); if (strcmp(argv[i], "x") == 0) return 1; } } ' * 4,
+        " ".join(f"{rng.randrange(256):02x}" for _ in range(600)), base64.b64encode(rng.randbytes(900)).decode(), "zq9xkq jqzx vvkq xqj wqzk " * 30,
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(150)),
+    ]
+    extra = spark.createDataFrame([(-1 - k, x, None) for k, x in enumerate(junk)], "doc_id long, text string, lang string")
+    got = langid.identify(d.unionByName(extra)).select("doc_id", "accepted").collect()
+    assert [r.doc_id for r in got if r.doc_id < 0 and r.accepted] == []
+    assert sum(not r.accepted for r in got if r.doc_id >= 0) <= 0.002 * len(got)
+
+
 # 6
 
 
