@@ -7,11 +7,12 @@ lengths move, never texts), and each shard is packed by itself.
 
 In a shard, best-fit decreasing gives the incumbent.  If its number of bins equals
 the waste bound ceil(sum / capacity) it is optimal.  Otherwise bin completion
-searches: it takes the largest piece left, enumerates the undominated fillings
-of its bin (a filling is dominated if another uses longer pieces in place of shorter
-ones in the same room), fullest first, and prunes branches whose waste so far means
-that they can't beat the incumbent.  The search ends at NODES nodes a shard and then keeps the
-incumbent, so the number of bins is never above best-fit decreasing's.
+searches: it takes the largest piece left, enumerates the fillings
+of its bin by any number of pieces, fullest first, leaves out dominated ones (a longer piece
+fits in place of one or two, or beside them), and prunes branches whose waste so far means
+that they can't beat the incumbent.  Only the budget cuts the search: it ends after NODES fillings a shard, dominated
+ones included, and then keeps the incumbent, which may not be optimal, though the number of bins is never above best-fit
+decreasing's.  A shard of more than NODES bins keeps the incumbent in any case.
 
 Defined results: null text, and text without words, has length 1 (the separator).
 Equal lengths go by doc_id, then by piece.  Rows with null doc_id are packed too.
@@ -21,6 +22,8 @@ Repeated rows are packed each.  The empty table gives no bins.
 from __future__ import annotations
 
 import bisect
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -50,57 +53,53 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def dominates(a: list[int], b: list[int], room: int) -> bool:
-    """Whether the sizes of filling b can be put into distinct items of filling a, taken as bins (Martello and Toth)."""
-    space = sorted(a, reverse=True)
-    for x in sorted(b, reverse=True):
-        for k, s in enumerate(space):
-            if x <= s:
-                space[k] = s - x
+def fillings(sizes: list[int], room: int) -> Iterator[tuple[int, ...]]:
+    """Sets of any number of items (numbers of sizes in descending order, equal sizes counted once) with sum <= room, fullest first, then those with the longest pieces.
+
+    The sums that the items from i on can reach are kept as bits, so the depth-first search takes no step that doesn't end in a filling.
+    """
+    n, neg = len(sizes), [-s for s in sizes]
+    first = bisect.bisect_left(neg, -room)
+    mask = (2 << room) - 1
+    reach = [1] * (n + 1)
+    for i in range(n - 1, first - 1, -1):
+        reach[i] = (reach[i + 1] | reach[i + 1] << sizes[i]) & mask
+    for total in range(room, -1, -1):
+        if not reach[first] >> total & 1:
+            continue
+        items: list[int] = []
+        left, j = total, first
+        while True:
+            if not left:
+                yield tuple(items)
+                j = n
+            j = max(j, bisect.bisect_left(neg, -left))
+            while j < n and not reach[j + 1] >> (left - sizes[j]) & 1:
+                j = bisect.bisect_right(neg, neg[j])  # the next size
+            if j < n:
+                items.append(j)
+                left -= sizes[j]
+                j += 1
+            elif items:
+                j = items.pop()
+                left += sizes[j]
+                j = bisect.bisect_right(neg, neg[j])
+            else:
                 break
-        else:
-            return False
-    return True
 
 
-def fillings(sizes: list[int], room: int, limit: int = 64) -> list[tuple[int, ...]]:
-    """Undominated sets of item numbers (of sizes in descending order, equal sizes counted once) with sum <= room, fullest first.
+def dominated(sizes: list[int], items: tuple[int, ...], room: int) -> bool:
+    """Whether a spare item fits in beside the filling, or into it in place of one or two of its items, and fills no less."""
+    neg, used = [-s for s in sizes], set(items)
+    slack = room - sum(sizes[i] for i in items)
 
-    With up to two items domination is decided exactly: a pair needs to be
-    considered only if its sum is above the best single item, and for each first
-    item only the longest second one that fits.
-    """
-    out: list[tuple[tuple[int, ...], int]] = []
-    neg = [-s for s in sizes]
-
-    def longest(lo: int, space: int) -> int:
-        return max(bisect.bisect_left(neg, -space), lo)
-
-    one = longest(0, room)
-    best = 0
-    if one < len(sizes):
-        out.append(((one,), sizes[one]))
-        best = sizes[one]
-    seen = set()
-    for i in range(one, len(sizes)):
-        if sizes[i] in seen:
-            continue
-        seen.add(sizes[i])
-        if 3 * sizes[i] < best:
-            break
-        j = longest(i + 1, room - sizes[i])
-        if j < len(sizes) and sizes[i] + sizes[j] > best:
-            out.append(((i, j), sizes[i] + sizes[j]))
-            k = longest(j + 1, room - sizes[i] - sizes[j])
-            if k < len(sizes):
-                out.append(((i, j, k), sizes[i] + sizes[j] + sizes[k]))
-    out.sort(key=lambda x: (-x[1], x[0]))
-    kept: list[tuple[int, ...]] = []
-    for items, _ in out:
-        mine = [sizes[i] for i in items]
-        if not any(dominates([sizes[i] for i in o], mine, room) for o in kept):
-            kept.append(items)
-    return kept[:limit] if kept else [()]
+    def spare(least: int, most: int) -> bool:
+        return any(k not in used for k in range(bisect.bisect_left(neg, -most), bisect.bisect_right(neg, -least)))
+
+    mine = Counter(sizes[i] for i in items)
+    if spare(1, slack) or slack and any(spare(x + 1, x + slack) for x in mine):
+        return True
+    return any(spare(x + y, x + y + slack) for x in mine for y in mine if x > y or x == y and mine[x] > 1)
 
 
 def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
@@ -119,17 +118,17 @@ def pack(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]
             if len(bins) < len(best):
                 best = [list(x) for x in bins]
             return len(best) <= bound
-        budget -= 1
-        if budget < 0:
-            return True
-        if waste > (len(best) - 1) * capacity - total:  # no fewer bins than the incumbent can come of this
-            return False
         first, rest = left[0], left[1:]
         room = capacity - sizes[first]
         rest_sizes = [sizes[i] for i in rest]
         for items in fillings(rest_sizes, room):
             used = sizes[first] + sum(rest_sizes[i] for i in items)
-            if waste + capacity - used > (len(best) - 1) * capacity - total:
+            if waste + capacity - used > (len(best) - 1) * capacity - total:  # no fewer bins than the incumbent can come of this or of less full ones
+                return False
+            budget -= 1
+            if budget < 0:
+                return True
+            if dominated(rest_sizes, items, room):
                 continue
             drop = set(items)
             bins.append([first, *(rest[i] for i in items)])

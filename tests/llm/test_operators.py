@@ -352,6 +352,25 @@ def test_bin_completion_against_brute_force():
     assert len(packing.pack(six, 61)) <= len(packing.best_fit(six, 61))
 
 
+def test_bins_of_many_short_pieces():
+    """Cut from full bins, so the waste bound can be met, by five pieces and more a bin."""
+    rng = random.Random(14)
+    met = beaten = 0
+    for _ in range(60):
+        sizes = []
+        for _ in range(4):
+            cuts = sorted(rng.sample(range(1, 100), rng.randrange(5, 7)))
+            sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 100])]
+        sizes.sort(reverse=True)
+        b = packing.pack(sizes, 100)
+        assert sorted(i for x in b for i in x) == list(range(len(sizes))) and all(sum(sizes[i] for i in x) <= 100 for x in b)
+        met += len(b) == 4
+        beaten += len(packing.best_fit(sizes, 100)) > 4
+    assert beaten >= 10 and met == 60
+    every = {tuple(sorted([9, 7, 5, 4, 3, 3, 2][i] for i in x)) for x in packing.fillings([9, 7, 5, 4, 3, 3, 2], 17)}
+    assert every == {tuple(sorted(x)) for n in range(8) for x in itertools.combinations([9, 7, 5, 4, 3, 3, 2], n) if sum(x) <= 17}
+
+
 # 8
 
 
