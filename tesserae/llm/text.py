@@ -126,17 +126,32 @@ def shards(df, mb: int = 32) -> int:
 
 
 def pieces(batch_iter, make, at_bytes: int = 16 << 20):
-    """Joins small record batches up to about `at_bytes`, then calls make(batch)."""
+    """Joins small record batches up to about `at_bytes`, or cuts larger ones into such, and calls make(batch) for each; all rows get there."""
     held, size = [], 0
+
+    def whole(batches):
+        for b in pa.Table.from_batches(batches).combine_chunks().to_batches():  # more than one where a column is beyond 2 GB
+            yield from make(b)
+
     for batch in batch_iter:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= at_bytes:
-            yield from make(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-            held, size = [], 0
+        for part in cut(batch, at_bytes):
+            if held and size + part.nbytes > at_bytes:
+                yield from whole(held)
+                held, size = [], 0
+            held.append(part)
+            size += part.nbytes
     if held:
-        for b in pa.Table.from_batches(held).combine_chunks().to_batches()[:1]:
-            yield from make(b)
+        yield from whole(held)
+
+
+def cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in halves, quarters ... of at most this many bytes, or one row."""
+    if batch.nbytes <= most or batch.num_rows < 2:
+        yield batch
+    else:
+        half = batch.num_rows // 2
+        yield from cut(batch.slice(0, half), most)
+        yield from cut(batch.slice(half), most)
 
 
 def fresh(columns: list[str], name: str) -> str:
