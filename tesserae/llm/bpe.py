@@ -10,12 +10,12 @@ what is before it as a valid pair (the merges leave the pair as it is).  The
 array of last tokens gives the encoding backwards, can be extended by appended
 bytes without looking at earlier ones, and is unchanged before an edit.
 
-The rank file's path is a parameter; its bytes reach the executors as a
-broadcast of fixed size.
+The rank file's path is a parameter (RANKS, or the environment's TESSERAE_RANKS, if it isn't given); the driver reads it, and its bytes
+reach the executors as a broadcast of fixed size.
 
 Defined results: null text has null ids and count 0; the empty text has no
 tokens.  Texts of any length are encoded whole.  Repeated rows each have their
-result.  Only doc_id and text are read.
+result.  Only doc_id and text are read, whatever other columns are called.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tesserae.llm.shared import tidy
 from tesserae.llm.text import chunks, flat, mix, powers, word_hashes
 from tesserae.llm.text import _BYTE, _P, _PI  # the rolling hash of words
 
@@ -383,6 +384,8 @@ def decode_rows(v: Vocabulary, ids: np.ndarray, off: np.ndarray) -> tuple[np.nda
 
 
 def read_ranks(docs: DataFrame, path: str):
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no rank file at {path!r}; give its path, or name it in TESSERAE_RANKS")
     with open(path, "rb") as f:
         return docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -418,21 +421,22 @@ def bpe_encode(docs: DataFrame, path: str = RANKS) -> DataFrame:
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _doc_text(docs).mapInArrow(encode, f"doc_id {kind}, ids array<int>, round_trip boolean")
+    return _doc_text(docs).mapInArrow(tidy(encode), f"doc_id {kind}, ids array<int>, round_trip boolean")
 
 
 def bpe_decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
-    """(doc_id, text) of rows (doc_id, ids); null ids give null.  Ids outside the vocabulary fail; bytes that aren't UTF-8 become U+FFFD."""
+    """(doc_id, text) of rows (doc_id, ids); null ids give null, and so do lists with a null or an id outside the vocabulary in them; bytes that aren't UTF-8 become U+FFFD."""
     ranks = read_ranks(encoded, path)
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(ranks.value)
         for batch in batches:
-            out = [None if x is None else b"".join(v.tokens[t] for t in x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            known = len(v.tokens)
+            out = [None if x is None or any(t is None or not 0 <= t < known for t in x) else b"".join(v.tokens[t] for t in x).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["doc_id", "text"])
 
     kind = encoded.schema["doc_id"].dataType.simpleString()
-    return encoded.select("doc_id", "ids").mapInArrow(decode, f"doc_id {kind}, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(tidy(decode), f"doc_id {kind}, text string")
 
 
 KEPT = 4_000_000
@@ -473,4 +477,4 @@ def token_counts(docs: DataFrame, path: str = RANKS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(total[po]))], names=["doc_id", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _doc_text(docs).mapInArrow(count, f"doc_id {kind}, n_tokens long")
+    return _doc_text(docs).mapInArrow(tidy(count), f"doc_id {kind}, n_tokens long")

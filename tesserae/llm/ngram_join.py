@@ -35,8 +35,8 @@ are cut into tile pairs.
 Defined results: null text, and text without words, has an empty set and is in
 no pair.  Texts of fewer than n words are one n-gram.  Rows with null doc_id
 are ignored.  Repeated rows with one doc_id never pair with themselves; a pair
-of doc_ids is reported once, with the highest index of any of their rows.
-Columns other than doc_id and text are not read.
+of doc_ids is reported once, with the highest index of any of their rows.  Texts of any length are compared whole.  An empty table gives no pairs.
+Columns other than doc_id and text, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -49,14 +49,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.pack import packed_runs, unpacked, widened
-from tesserae.llm.shared import checkpoint
+from tesserae.llm.pack import packed_runs, unpacked
+from tesserae.llm.shared import checkpoint, tidy, tidy_group
 from tesserae.llm.text import NOT_WORD, chunks, flat, fresh, gram_hashes, mix, pieces, rows_of, shards, word_hashes, words
 
 N, T = 2, 0.7
 CELLS = 1 << 20  # of the frequency sketch
 LEVELS = (30, 24, 20, 16, 14, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0)  # bits
 TILE = 2048
+KEYS = 1 << 20  # block keys that a shard works on at a time
 U = np.uint64
 NONE = np.iinfo(np.int64).min
 LOSS = 1e-6  # of a pair at the threshold, by its signature
@@ -124,7 +125,7 @@ def information(docs: DataFrame, n: int) -> np.ndarray:
         bits = np.clip(np.round(np.log2(np.maximum(rows, 1) / np.maximum(total, 1))), 0, 40).astype(np.uint8)
         return pa.table({"slice": table["slice"].slice(0, 1), "bits": [bits.tobytes()]})
 
-    got = docs.select("text").mapInArrow(count, "slice int, rows long, counts binary").groupBy("slice").applyInArrow(add, "slice int, bits binary").collect()
+    got = docs.select("text").mapInArrow(tidy(count), "slice int, rows long, counts binary").groupBy("slice").applyInArrow(add, "slice int, bits binary").collect()
     return np.frombuffer(b"".join(r.bits for r in sorted(got, key=lambda r: r.slice)), np.uint8) if got else np.zeros(CELLS, np.uint8)
 
 
@@ -146,7 +147,7 @@ def block_keys(grams: np.ndarray, off: np.ndarray, t: float, bits: np.ndarray) -
             continue
         d = distance_bound(size, hi, t)
         k = np.ceil(1.3 * (np.floor(c * 2 * hi) + 1)).astype(np.int64) + 1
-        k[hi < 1 / (2 * c)] = 1  # no difference is allowed
+        k[2 * c * hi < 1] = 1  # no difference is allowed
         own = np.concatenate([np.arange(off[x], off[x + 1]) for x in r]) if len(r) < len(size) else np.arange(off[-1])
         row = np.repeat(r, size[r])
         g = mix((grams[own] >> U(6)) + U(0x2545F491))
@@ -209,17 +210,30 @@ def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _edges(table: pa.Table, least_agree: int) -> pa.Table:
-    """(doc_id, leader) of the texts that share a block and, by their signatures, may be alike; the leader is the smallest of those that such pairs chain."""
-    key, doc = widened(table), unpacked(table["p3"], np.int64)
-    lo, hi = unpacked(table["p4"], np.uint64), unpacked(table["p5"], np.uint64)
+    """(doc_id, leader) of the texts that share a block and, by their signatures, may be alike; the leader is the smallest of those that such pairs chain.
+
+    Keys are worked on by KEYS or so at a time, by their last byte: equal ones stay together.
+    """
+    high, last = unpacked(table["p0"], np.uint32), unpacked(table["p1"], np.uint8)
+    doc, lo, hi = unpacked(table["p3"], np.int64), unpacked(table["p4"], np.uint64), unpacked(table["p5"], np.uint64)
     run = np.repeat(np.arange(len(doc), dtype=np.int32), unpacked(table["p2"], np.uint32))
-    alike = np.lexsort((doc, lo, hi))  # rows by signature, then by document
-    place = np.empty(len(doc), np.int64)
-    place[alike] = np.arange(len(doc))
+    place = np.empty(len(doc), np.int32)
+    place[np.lexsort((doc, lo, hi))] = np.arange(len(doc), dtype=np.int32)  # rows by signature, then by document
+    parts, found = min(256, 1 + len(high) // KEYS), []
+    for k in range(parts):
+        at = np.flatnonzero(last.astype(np.int16) % parts == k) if parts > 1 else slice(None)
+        found.append(_edges_of((high[at].astype(np.uint64) << U(8)) | last[at], run[at], place, doc, lo, hi, least_agree))
+    pair = np.concatenate(found)
+    pair = np.unique(pair, axis=0) if len(pair) else pair
+    return pa.table({"doc_id": pa.array(pair[:, 0], pa.int64()), "leader": pa.array(pair[:, 1], pa.int64())})
+
+
+def _edges_of(key, run, place, doc, lo, hi, least_agree: int) -> np.ndarray:
+    """_edges() of some keys: the row of each is run, and rows have a place in the order of signatures, a document and a signature."""
     order = np.lexsort((place[run], key))
     key, run = key[order], run[order]
     if not len(key):
-        return pa.table({"doc_id": pa.array([], pa.int64()), "leader": pa.array([], pa.int64())})
+        return np.zeros((0, 2), np.int64)
     block = np.cumsum(np.r_[True, key[1:] != key[:-1]]) - 1
     copy = np.r_[False, (block[1:] == block[:-1]) & (lo[run[1:]] == lo[run[:-1]]) & (hi[run[1:]] == hi[run[:-1]])]
     head = np.flatnonzero(~copy)  # one row for each signature in a block
@@ -253,8 +267,7 @@ def _edges(table: pa.Table, least_agree: int) -> pa.Table:
     use = np.bincount(of_head, minlength=len(head)) > 1
     use[i] = use[j] = True
     use = use[of_head]
-    pair = np.unique(np.stack([doc[run[use]], least[of_head[use]]], 1), axis=0)
-    return pa.table({"doc_id": pa.array(pair[:, 0], pa.int64()), "leader": pa.array(pair[:, 1], pa.int64())})
+    return np.unique(np.stack([doc[run[use]], least[of_head[use]]], 1), axis=0)
 
 
 def parity_sketches(grams: np.ndarray, off: np.ndarray) -> list[bytes]:
@@ -401,6 +414,12 @@ def _verify_group(ids, sets, leaders, tiles, leader, ti, tj, t, expand) -> list[
         if min(named[a] & named[b]) == leader:
             m, q = (members[a], members[b]) if expand or ti != tj else (members[a][:1], members[b][:1])
             emit(np.repeat(m, len(q)), np.tile(q, len(m)), float(jac[a, b]))
+    if out and len(np.unique(ids)) < len(ids):  # repeated rows; all rows of two documents are in one group
+        a, b, v = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((-v, b, a))
+        a, b, v = a[order], b[order], v[order]
+        once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        out = [(a[once], b[once], v[once])]
     return out
 
 
@@ -433,7 +452,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
 
         yield from pieces(batches, make)
 
-    edges = docs.mapInArrow(sketch, "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary, p5 binary").groupBy("shard").applyInArrow(lambda table: _edges(table, least_agree), "doc_id long, leader long")
+    edges = docs.mapInArrow(tidy(sketch), "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary, p5 binary").groupBy("shard").applyInArrow(tidy_group(lambda table: _edges(table, least_agree)), "doc_id long, leader long")
     edges = checkpoint(edges.distinct())
 
     def parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -451,8 +470,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
             keep = root != NONE
             yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(root[keep])], names=["doc_id", "leader"])
 
-    sketches = docs.mapInArrow(parity, "doc_id long, size int, bits binary")
-    close = checkpoint(_to_leaders(sketches, edges, ["size", "bits"]).mapInArrow(sieve, "doc_id long, leader long").distinct())
+    sketches = docs.mapInArrow(tidy(parity), "doc_id long, size int, bits binary")
+    close = checkpoint(_to_leaders(sketches, edges, ["size", "bits"]).mapInArrow(tidy(sieve), "doc_id long, leader long").distinct())
     sent = _to_leaders(docs, close, ["text"], named=True)
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,7 +492,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
                 for i in range(0, len(a), 100_000):
                     yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000]), pa.array(v[i : i + 100_000])], names=["doc_id_a", "doc_id_b", "jaccard"])
 
-    return sent.mapInArrow(verify, PAIRS)
+    return sent.mapInArrow(tidy(verify), PAIRS)
 
 
 def near_groups(docs: DataFrame, n: int = N, t: float = T) -> DataFrame:

@@ -10,8 +10,8 @@ Layout: little-endian words, block after block.  The last word of a block may
 hold fewer ids than its selector says; the number of ids is stored with the row.
 
 Defined results: null text gives null payload, null offsets and n_tokens 0; the empty
-text an empty payload.  Whole texts are coded, however long.  Only doc_id and
-text are read.
+text an empty payload.  Whole texts are coded, however long.  Repeated rows each have their result.  An empty table gives an empty one.
+Only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tesserae.llm.bpe import RANKS, _doc_text, ranges, read_ranks
+from tesserae.llm.shared import tidy
 from tesserae.llm.text import chunks
 
 BLOCK = 128
@@ -142,7 +143,7 @@ def token_binary(docs: DataFrame, path: str = RANKS) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(off).astype(np.int32)), payload, blocks], names=["doc_id", "n_tokens", "payload", "block_offsets"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return _doc_text(docs).mapInArrow(code, f"doc_id {kind}, {SCHEMA}")
+    return _doc_text(docs).mapInArrow(tidy(code), f"doc_id {kind}, {SCHEMA}")
 
 
 def _bitmap(null: np.ndarray) -> pa.Buffer | None:

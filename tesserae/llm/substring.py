@@ -21,7 +21,7 @@ Defined results: texts that are null, or shorter than W words, have no windows.
 Identical rows (same doc_id and text) are one row.  Rows with null doc_id are
 never cut and count for nothing.  Rows of one doc_id with different texts are
 different documents that come in order of their text's hash.  Columns other than
-doc_id and text are passed on unread.
+doc_id and text, whatever their names, are passed on unread.  Texts of any length are searched whole.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,7 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.pack import lists, narrow, packed, unpacked, widened
-from tesserae.llm.text import chunks, flat, fresh, gram_hashes, mix, pieces, rows_of, shards, word_hashes, words
+from tesserae.llm.shared import tidy, tidy_group
+from tesserae.llm.text import chunks, flat, fresh, gram_hashes, mix, pieces, quoted, rows_of, shards, word_hashes, words
 
 W, K = 50, 25
 U = np.uint64
@@ -154,7 +155,7 @@ def _repeated_starts(docs: DataFrame, w: int, k: int) -> DataFrame:
 
         yield from pieces(batches, make)
 
-    kept = _together(docs.mapInArrow(anchored, "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary").groupBy("shard").applyInArrow(_flagged, AT))
+    kept = _together(docs.mapInArrow(tidy(anchored), "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary").groupBy("shard").applyInArrow(tidy_group(_flagged), AT))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(batch):
@@ -180,7 +181,7 @@ def _repeated_starts(docs: DataFrame, w: int, k: int) -> DataFrame:
         yield from pieces(batches, make)
 
     candidates = docs.join(kept, ["doc_id", "th"]).select("doc_id", "text", "th", "at")
-    return _together(candidates.mapInArrow(windows, "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary").groupBy("shard").applyInArrow(_repeated, AT))
+    return _together(candidates.mapInArrow(tidy(windows), "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary").groupBy("shard").applyInArrow(tidy_group(_repeated), AT))
 
 
 def _merged(at: np.ndarray, row: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -241,4 +242,4 @@ def cut_repeats(docs: DataFrame, w: int = W, k: int = K) -> DataFrame:
     out = {"text": F.col(cleaned)}
     if "n_chars" in names:
         out["n_chars"] = F.when(hit, F.length(cleaned).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return left.select(*(out.get(c, F.col(c)).alias(c) for c in names))
+    return left.select(*(out.get(c, quoted(c)).alias(c) for c in names))

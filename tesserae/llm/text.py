@@ -35,7 +35,7 @@ def powers(base: int, n: int) -> np.ndarray:
         p = np.full(max(n, 1 << 16), base & (2**64 - 1), np.uint64)
         p[0] = 1
         have = np.cumprod(p)
-        if n <= 1 << 23:
+        if n <= 1 << 21:
             _tables[base] = have
     return have
 
@@ -64,7 +64,7 @@ def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return b, o - o[0]
 
 
-def chunks(col: pa.Array, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def chunks(col: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `size` bytes, or one longer row."""
     o = flat(col)[1]
     a = 0
@@ -154,6 +154,13 @@ def cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield from cut(batch.slice(half), most)
 
 
+def quoted(name: str):
+    """The column of this very name, dots and all."""
+    from pyspark.sql import functions as F
+
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def fresh(columns: list[str], name: str) -> str:
     """A column name like `name` that none of the columns has."""
     have = {c.lower() for c in columns}
