@@ -9,11 +9,12 @@ subtrees inside it (menus, share bars) are left out.
 
 The parser keeps the rules that matter for real pages: void elements, raw text of
 scripts and styles, skipped elements (svg, iframe, noscript, template; empty if self-closed svg or without an end tag of their own), comments, optional end tags of p, li, td and the like, unclosed
-and crossed tags.  Pages never fail; what can't be a tag is text.
+and crossed tags.  Pages never fail; what can't be a tag is text: a "<" ends an unfinished tag before it, and a quote that isn't
+closed is a character like others.  Nothing is scanned twice, so the time grows with the length of the page, whatever is in it.
 
 Defined results: null html gives null text; empty html, and pages without text, give ''.
 Ties in the density sum go to the node that comes first.  Pages of any length are parsed whole.
-Repeated rows each have their result.  Only page_id and html are read.
+Repeated rows each have their result.  Only page_id and html are read, whatever other columns are called.  An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -27,11 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^'">]|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""", re.S)
+from tesserae.llm.shared import tidy
+
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/<>]*+)((?:[^'"<>]++|"[^"]*+"|'[^']*+')*+)>""")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)")
+PLAIN = re.compile(r"""[^'"<>]*+""")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style")}
-#: Elements that are left out whole, by the opening and end tags of their name.
-SKIPPED = {t: re.compile(rf"""<!--.*?(?:-->|\Z)|<(/?){t}(?=[\s/>])((?:[^'">]|"[^"]*"|'[^']*')*)>""", re.I | re.S) for t in ("noscript", "template", "iframe", "svg")}
+#: Elements that are left out whole.
+SKIPPED = frozenset(("noscript", "template", "iframe", "svg"))
 BLOCK = frozenset("address article aside blockquote br dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table td th tr ul".split())
 #: Opening one of these ends an open one of its set, within the nearest of the given ancestors.
 ENDS = {
@@ -42,15 +47,62 @@ ENDS = {
 SPACES = re.compile(r"[ \t\r\f\v ]*\n\s*|[ \t\r\f\v ]+")
 
 
+class Scanner:
+    """Finds the tags of a page one after the other."""
+
+    def __init__(self, source: str):
+        self.source, self.plain, self.closing = source, True, {'"': True, "'": True}  # whether a quote may still be closed, both of them and each
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, whether it is an end tag, name ("" for comments and declarations) and attributes of the next tag from `at` on."""
+        source = self.source
+        while (at := source.find("<", at)) >= 0:
+            if self.plain and (m := TAG.match(source, at)):
+                return at, m.end(), m[1] != "", m[2].lower(), m[3]
+            if source.startswith("<!--", at):
+                end = source.find("-->", at + 4)
+                return at, end + 3 if end >= 0 else len(source), False, "", ""
+            if source.startswith(("<!", "<?"), at):
+                end = source.find(">", at)
+                if end < 0:
+                    return None
+                return at, end + 1, False, "", ""
+            m = NAME.match(source, at)
+            if m is None:
+                at += 1
+                continue
+            end = self._attributes(m.end())
+            if end < len(source) and source[end] == ">":
+                return at, end + 1, bool(m[1]), m[2].lower(), source[m.end() : end]
+            at = end
+        return None
+
+    def _attributes(self, at: int) -> int:
+        """Where attributes that begin at `at` end: at a ">" or "<" outside quotes, or with the page."""
+        source = self.source
+        while True:
+            at = PLAIN.match(source, at).end()
+            if at == len(source) or source[at] in "<>":
+                return at
+            q = source[at]
+            end = source.find(q, at + 1) if self.closing[q] else -1
+            if end < 0:
+                self.plain = self.closing[q] = False
+            at = end + 1 if end >= 0 else at + 1
+
+
 def _ends(source: str, name: str) -> dict[int, int]:
     """For every opening tag of this name, by the place behind it, the place behind its own end tag; those without one are missing."""
-    ends, opened = {}, []
-    for m in SKIPPED[name].finditer(source):
-        if m[1]:
+    ends, opened, scanner, at = {}, [], Scanner(source), 0
+    while found := scanner.next(at):
+        _, at, closes, what, attributes = found
+        if what != name:
+            continue
+        if closes:
             if opened:
-                ends[opened.pop()] = m.end()
-        elif m[1] is not None and not (name == "svg" and m[2].endswith("/")):
-            opened.append(m.end())
+                ends[opened.pop()] = at
+        elif not (name == "svg" and attributes.endswith("/")):
+            opened.append(at)
     return ends
 
 
@@ -60,54 +112,56 @@ class Tree:
     def __init__(self, source: str):
         self.tag, self.parent, self.pieces, self.body = ["#root"], [-1], [], 0
         tag, parent, pieces = self.tag, self.parent, self.pieces
-        stack, at, find = [0], 0, TOKEN.search
+        stack, at, scanner = [0], 0, Scanner(source)
+        open_at: dict[str, list[int]] = {}  # places in the stack by tag
         ends: dict[str, dict[int, int]] = {}
 
         def add(text: str) -> None:
             if text.strip():
                 pieces.append((len(tag), stack[-1], entities.unescape(text) if "&" in text else text))
 
+        def close(k: int) -> None:
+            while len(stack) > k:
+                open_at[tag[stack.pop()]].pop()
+
+        def last(names) -> int:
+            return max((open_at[x][-1] for x in names if open_at.get(x)), default=0)
+
         while True:
-            m = find(source, at)
-            if m is None:
+            found = scanner.next(at)
+            if found is None:
                 add(source[at:])
                 break
-            if m.start() > at:
-                add(source[at : m.start()])
-            at = m.end()
-            name = m[2]
-            if name is None:
+            start, end, closes, name, attributes = found
+            if start > at:
+                add(source[at:start])
+            at = end
+            if not name:
                 continue
-            name = name.lower()
-            if m[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tag[stack[k]] == name:
-                        del stack[k:]
-                        break
+            if closes:
+                if open_at.get(name):
+                    close(open_at[name][-1])
                 continue
             if name == "body" and self.body:
                 continue
             if name in ENDS:
-                closes, within = ENDS[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    t = tag[stack[k]]
-                    if t in closes:
-                        del stack[k:]
-                        break
-                    if t in within:
-                        break
+                ended, within = ENDS[name]
+                k = last(ended)
+                if k and k >= last(within):
+                    close(k)
             tag.append(name)
             parent.append(stack[-1])
             if name == "body":
                 self.body = len(tag) - 1
             if name in RAW:
-                end = RAW[name].search(source, at)
-                at = end.end() if end else len(source)
+                raw = RAW[name].search(source, at)
+                at = raw.end() if raw else len(source)
             elif name in SKIPPED:
                 if name not in ends:
                     ends[name] = _ends(source, name)
                 at = ends[name].get(at, at)
-            elif name not in VOID and not m[3].endswith("/"):
+            elif name not in VOID and not attributes.endswith("/"):
+                open_at.setdefault(name, []).append(len(stack))
                 stack.append(len(tag) - 1)
 
 
@@ -172,4 +226,4 @@ def main_text(pages: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if x is None else extract(x) for x in batch.column(1).to_pylist()], pa.string())], names=["page_id", "main_text"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", F.col("html").cast("string").alias("html")).mapInArrow(run, f"page_id {kind}, main_text string")
+    return pages.select("page_id", F.col("html").cast("string").alias("html")).mapInArrow(tidy(run), f"page_id {kind}, main_text string")
