@@ -1,19 +1,20 @@
 """Quality rules with adaptive thresholds from mergeable quantile sketches.
 
-Five measures of a text grow with junk: symbols and exclamation marks for each
-character, capitals for each character, repeated words, repeated lines.  For every
+Three measures of a text grow with junk and vary among good texts too: ASCII punctuation and
+signs for each character, capitals for each character, and repeated words for each word.  For every
 (lang, source) a log-bucket quantile sketch of each measure counts values by
 bucket ceil(log_GAMMA(x)) (relative error ALPHA, zero apart); sketches merge by
 adding counts, so Spark builds them with one partial aggregation, and a language's
 sketch is the sum of its sources'.  The upper fence of a measure is
-q75 + FENCE * max(q75 - q25, floor): what counts as junk follows the source's own
-distribution; the floors say below which spread a difference means nothing.
-Sources with fewer than FEW documents use their language's sketch.  A document is kept if
-no measure is above its fence.
+(q75 + FENCE * (q75 - q25)) * (1 + 2 ALPHA), the last for the sketch's error: what counts as junk follows the source's own
+distribution alone, and no measure has a cutoff of its own.  A source's quantiles are drawn towards its language's as if it had
+PRIOR documents more, distributed as the language is: a source of few documents is judged by its language, one of many by itself, with no step between.
+A document is kept if no measure is above its fence.
 
 Defined results: a null text, or one without words, is rejected as "empty".  Null
 languages and sources are groups of their own.  Repeated rows count, and are
-judged, each.
+judged, each.  A value on the fence is kept; where the quantiles are equal, so is one equal to them.  Texts of any length are measured whole.  An empty table
+gives an empty one.  Only doc_id, lang, source and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -27,16 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tesserae.llm.shared import checkpoint
+from tesserae.llm.shared import checkpoint, tidy
 from tesserae.llm.text import SPACE, chunks, flat, rows_of, word_hashes, words
 
-ALPHA, FENCE, FEW = 0.01, 3.0, 50
+ALPHA, FENCE, PRIOR = 0.01, 4.0, 20
 GAMMA = (1 + ALPHA) / (1 - ALPHA)
-#: Measures and the least spread that counts, in the order in which they name the reason.
-MEASURES = {"symbols": 0.02, "exclaims": 0.02, "capitals": 0.04, "repeats": 0.1, "lines": 0.15}
-SYMBOLS, EXCLAIMS = "#$%&*|{}<>=_~^", "!?"
-NEWLINE = np.zeros(256, bool)
-NEWLINE[10] = True
+#: In the order in which they name the reason.
+MEASURES = ("punct", "capitals", "repeats")
 
 
 def _table(chars: str) -> np.ndarray:
@@ -45,12 +43,12 @@ def _table(chars: str) -> np.ndarray:
     return t
 
 
-_SYMBOL, _EXCLAIM, _CAPITAL = _table(SYMBOLS), _table(EXCLAIMS), _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+_PUNCT, _CAPITAL = _table("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"), _table("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
-def _repeated(b: np.ndarray, o: np.ndarray, sep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """How many of each row's pieces are later copies of another, and how many pieces there are."""
-    s, e, off = words(b, o, sep)
+def _repeated(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many of each row's words are later copies of another, and how many words there are."""
+    s, e, off = words(b, o, SPACE)
     row = rows_of(off)
     h = word_hashes(b, s, e)
     order = np.lexsort((h, row))
@@ -70,15 +68,14 @@ def measures(docs: DataFrame) -> DataFrame:
                 b, o = flat(part.column(3))
                 chars = np.r_[0, np.cumsum((b & 0xC0) != 0x80)][o]
                 size = np.maximum(np.diff(chars), 1)
-                share = [np.diff(np.r_[0, np.cumsum(t[b])][o]) / size for t in (_SYMBOL, _EXCLAIM, _CAPITAL)]
-                again, n = _repeated(b, o, SPACE)
-                lines, n_lines = _repeated(b, o, NEWLINE)
-                cols = [n, *share, again / np.maximum(n, 1), lines / np.maximum(n_lines, 1)]
+                share = [np.diff(np.r_[0, np.cumsum(t[b])][o]) / size for t in (_PUNCT, _CAPITAL)]
+                again, n = _repeated(b, o)
+                cols = [n, *share, again / np.maximum(n, 1)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, cols)], names=["doc_id", "lang", "source", "n_words", *MEASURES])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     cols = docs.select("doc_id", *(F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")))
-    return cols.mapInArrow(measure, f"doc_id {kind}, lang string, source string, n_words long, " + ", ".join(f"{m} double" for m in MEASURES))
+    return cols.mapInArrow(tidy(measure), f"doc_id {kind}, lang string, source string, n_words long, " + ", ".join(f"{m} double" for m in MEASURES))
 
 
 def bucket(x: F.Column) -> F.Column:
@@ -104,22 +101,21 @@ def quantiles(sketch: DataFrame, by: list[str], qs: dict[str, float]) -> DataFra
     return run.groupBy(*by, "measure").agg(F.first("total").alias("total"), *(value(b).alias(k) for k, b in at.items()))
 
 
-def thresholds(sketch: DataFrame, fence: float = FENCE, few: int = FEW) -> DataFrame:
+def thresholds(sketch: DataFrame, fence: float = FENCE, prior: int = PRIOR) -> DataFrame:
     """(lang, source, <measure>_max ...) for every language and source."""
     qs = {"q25": 0.25, "q75": 0.75}
     own = quantiles(sketch, ["lang", "source"], qs)
     of = quantiles(sketch, ["lang"], qs).select(F.col("lang").alias("l"), F.col("measure").alias("m"), F.col("q25").alias("l25"), F.col("q75").alias("l75"))
     both = own.join(of, own.lang.eqNullSafe(of.l) & (own.measure == of.m))
-    low, high = (F.when(F.col("total") >= few, F.col(a)).otherwise(F.col(b)) for a, b in (("q25", "l25"), ("q75", "l75")))
-    floor = F.create_map(*(F.lit(x) for kv in MEASURES.items() for x in kv))[F.col("measure")]
-    top = both.select("lang", "source", "measure", (high + fence * F.greatest(high - low, floor)).alias("top"))
+    low, high = ((F.col("total") * F.col(a) + prior * F.col(b)) / (F.col("total") + prior) for a, b in (("q25", "l25"), ("q75", "l75")))
+    top = both.select("lang", "source", "measure", ((high + fence * (high - low)) * (1 + 2 * ALPHA)).alias("top"))
     return top.groupBy("lang", "source").agg(*(F.max(F.when(F.col("measure") == m, F.col("top"))).alias(f"{m}_max") for m in MEASURES))
 
 
-def judge(docs: DataFrame, fence: float = FENCE, few: int = FEW) -> DataFrame:
+def judge(docs: DataFrame, fence: float = FENCE, prior: int = PRIOR) -> DataFrame:
     """(doc_id, keep, reason) of every row; the reason is null for kept ones, else "empty" or the first measure above its fence."""
     rows = checkpoint(measures(docs))
-    t = thresholds(sketches(rows), fence, few)
+    t = thresholds(sketches(rows), fence, prior)
     t = t.select(F.col("lang").alias("l"), F.col("source").alias("s"), *(f"{m}_max" for m in MEASURES))
     joined = rows.join(t, rows.lang.eqNullSafe(t.l) & rows.source.eqNullSafe(t.s), "left")
     reason = F.when(F.col("n_words") == 0, "empty")

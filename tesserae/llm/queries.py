@@ -76,36 +76,33 @@ _OP2 = "SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER
 
 _OP6 = f"""
 WITH p AS (
-  SELECT doc_id, lang, source, greatest(length(text), 1)::DOUBLE AS size, text,
-    list_filter(string_split_regex(text, '{SPACE}'), lambda x: x <> '') AS w, list_filter(string_split(text, chr(10)), lambda x: x <> '') AS l
-  FROM documents
+  SELECT doc_id, lang, source, greatest(length(text), 1)::DOUBLE AS size, text, list_filter(string_split_regex(text, '{SPACE}'), lambda x: x <> '') AS w FROM documents
 ), m AS (
   SELECT doc_id, lang, source, coalesce(len(w), 0) AS n_words,
-    (length(text) - length(regexp_replace(text, '[#$%&*|{{}}<>=_~^]', '', 'g'))) / size AS symbols,
-    (length(text) - length(regexp_replace(text, '[!?]', '', 'g'))) / size AS exclaims,
+    (length(text) - length(regexp_replace(text, '[!-/:-@\\[-`{{-~]', '', 'g'))) / size AS punct,
     (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) / size AS capitals,
-    (len(w) - len(list_distinct(w))) / greatest(len(w), 1)::DOUBLE AS repeats, (len(l) - len(list_distinct(l))) / greatest(len(l), 1)::DOUBLE AS lines
+    (len(w) - len(list_distinct(w))) / greatest(len(w), 1)::DOUBLE AS repeats
   FROM p
 ), u AS (
-  {" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {v}::DOUBLE AS least, {k} AS x FROM m WHERE n_words > 0" for k, v in quality.MEASURES.items())}
+  {" UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS x FROM m WHERE n_words > 0" for k in quality.MEASURES)}
 ), k AS (
-  SELECT lang, source, measure, least, CASE WHEN x <= 0 THEN -1000000 ELSE ceil(ln(x) / {math.log(quality.GAMMA)!r})::INT END AS bucket, count(*) AS n FROM u GROUP BY ALL
+  SELECT lang, source, measure, CASE WHEN x <= 0 THEN -1000000 ELSE ceil(ln(x) / {math.log(quality.GAMMA)!r})::INT END AS bucket, count(*) AS n FROM u GROUP BY ALL
 ), a AS (
   SELECT *, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM k
 ), kl AS (SELECT lang, measure, bucket, sum(n) AS n FROM k GROUP BY ALL),
 b AS (
   SELECT *, sum(n) OVER (PARTITION BY lang, measure ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, measure) AS total FROM kl
 ), qa AS (
-  SELECT lang, source, measure, any_value(least) AS least, any_value(total) AS total, min(bucket) FILTER (upto > floor(0.25 * (total - 1))) AS q25, min(bucket) FILTER (upto > floor(0.75 * (total - 1))) AS q75 FROM a GROUP BY ALL
+  SELECT lang, source, measure, any_value(total) AS total, min(bucket) FILTER (upto > floor(0.25 * (total - 1))) AS q25, min(bucket) FILTER (upto > floor(0.75 * (total - 1))) AS q75 FROM a GROUP BY ALL
 ), qb AS (
   SELECT lang, measure, min(bucket) FILTER (upto > floor(0.25 * (total - 1))) AS q25, min(bucket) FILTER (upto > floor(0.75 * (total - 1))) AS q75 FROM b GROUP BY ALL
-), c AS (
-  SELECT qa.lang, source, qa.measure, least, CASE WHEN total >= {quality.FEW} THEN qa.q25 ELSE qb.q25 END AS b25, CASE WHEN total >= {quality.FEW} THEN qa.q75 ELSE qb.q75 END AS b75
-  FROM qa JOIN qb ON qa.lang IS NOT DISTINCT FROM qb.lang AND qa.measure = qb.measure
 ), v AS (
-  SELECT lang, source, measure, least, CASE WHEN b25 = -1000000 THEN 0 ELSE pow({quality.GAMMA!r}, b25) * {2 / (1 + quality.GAMMA)!r} END AS v25, CASE WHEN b75 = -1000000 THEN 0 ELSE pow({quality.GAMMA!r}, b75) * {2 / (1 + quality.GAMMA)!r} END AS v75 FROM c
+  SELECT qa.lang, source, qa.measure, total::DOUBLE AS total, {", ".join(f"CASE WHEN {q} = -1000000 THEN 0 ELSE pow({quality.GAMMA!r}, {q}) * {2 / (1 + quality.GAMMA)!r} END AS {n}" for q, n in (("qa.q25", "a25"), ("qa.q75", "a75"), ("qb.q25", "b25"), ("qb.q75", "b75")))}
+  FROM qa JOIN qb ON qa.lang IS NOT DISTINCT FROM qb.lang AND qa.measure = qb.measure
+), d AS (
+  SELECT lang, source, measure, {", ".join(f"(total * a{q} + {quality.PRIOR} * b{q}) / (total + {quality.PRIOR}) AS v{q}" for q in (25, 75))} FROM v
 ), t AS (
-  SELECT lang, source, {", ".join(f"max(v75 + {quality.FENCE} * greatest(v75 - v25, least)) FILTER (measure = '{k}') AS {k}_max" for k in quality.MEASURES)} FROM v GROUP BY ALL
+  SELECT lang, source, {", ".join(f"max((v75 + {quality.FENCE} * (v75 - v25)) * {1 + 2 * quality.ALPHA!r}) FILTER (measure = '{k}') AS {k}_max" for k in quality.MEASURES)} FROM d GROUP BY ALL
 ), r AS (
   SELECT doc_id, CASE WHEN n_words = 0 THEN 'empty' {" ".join(f"WHEN {k} > {k}_max THEN '{k}'" for k in quality.MEASURES)} END AS reason
   FROM m LEFT JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source
