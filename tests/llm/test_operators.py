@@ -2,8 +2,10 @@
 
 import base64
 import itertools
+import math
 import random
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tesserae.llm import bpe, exact, html, langid, ngram_join, packing, quality, queries, simple8b, substring
-from tesserae.llm.text import NOT_WORD, flat, words
+from tesserae.llm.pack import packed_runs
+from tesserae.llm.text import NOT_WORD, flat, pieces, words
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -42,6 +45,15 @@ def test_words():
     assert [b[i:j].tobytes() for i, j in zip(s, e)] == [b"Ab", b"c", b"x"] and off.tolist() == [0, 2, 2, 2, 3]
 
 
+def test_pieces_keep_all_rows():
+    """Columns that don't fit into one array, batches beyond the size, and rows beyond it."""
+    rng = random.Random(6)
+    batches = [pa.RecordBatch.from_pydict({"i": list(range(k * 100, k * 100 + n)), "t": ["x" * rng.randrange(300) for _ in range(n)]}, pa.schema({"i": pa.int64(), "t": pa.string()})) for k, n in enumerate((1, 0, 100, 7, 63))]
+    for size in (1, 150, 1000, 10_000, 1 << 30):
+        seen = [i for got in pieces(iter(batches), lambda b: [b], size) for i in got.column(0).to_pylist()]
+        assert seen == [i for b in batches for i in b.column(0).to_pylist()]
+
+
 # 1
 
 
@@ -81,6 +93,32 @@ def test_near_pairs_equal_brute_force(spark, docs):
     assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_near_pairs_awkward(spark, awkward):
+    rows = [(r.doc_id, r.text) for r in awkward.collect()]
+    for t in (0.3, 0.5, 0.7, 1.0):
+        got = [(r[0], r[1]) for r in ngram_join.ngram_jaccard_join(awkward, t=t).collect()]
+        assert len(got) == len(set(got)) and set(got) == set(brute_pairs(rows, t=t))
+
+
+def test_near_pairs_by_parts_of_the_keys(spark, docs, monkeypatch):
+    want = sorted(map(tuple, ngram_join.ngram_jaccard_join(docs).collect()))
+    monkeypatch.setattr(ngram_join, "KEYS", 50)
+    batches = docs.select("doc_id", "text").toArrow().to_batches()
+    sets = ngram_join.gram_sets(batches[0].column(1), 2)
+    keys, rows = ngram_join.block_keys(*sets, 0.7, np.full(ngram_join.CELLS, 5, np.uint8))
+    order = np.argsort(rows, kind="stable")
+    table = pa.Table.from_batches([packed_runs(keys[order], rows[order], [batches[0].column(0).to_numpy(), *ngram_join.signatures(*sets)], 1)])
+    few = ngram_join._edges(table, 10)
+    monkeypatch.setattr(ngram_join, "KEYS", 1 << 20)
+    both = [{tuple(r.values()) for r in x.to_pylist()} for x in (few, ngram_join._edges(table, 10))]
+    group = [{}, {}]
+    for g, edges in zip(group, both):  # leaders differ with the part; what they join doesn't
+        for _ in range(20):
+            for a, b in edges:
+                g[a] = g[b] = min(g.get(a, a), g.get(b, b))
+    assert want and group[0] == group[1]
+
+
 def test_near_pairs_in_tiles(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "TILE", 8)
     rows = [(i, f"a b c d e f g h i j {'k l' if i % 2 else 'm n'} z{i % 3}") for i in range(40)]
@@ -153,17 +191,34 @@ def test_trie_against_dict():
     rng = random.Random(5)
     t, seen = exact.PatriciaTrie(), {}
     for i in range(3000):
-        k = bytes(rng.choice(b"ab") for _ in range(rng.randrange(12)))
+        k = bytes(rng.choice(b"ab") for _ in range(1 + rng.randrange(12)))
         v = rng.randrange(1000)
         t.insert(k, v)
         seen[k] = min(v, seen.get(k, 10**9))
     assert all(t.insert(k, 10**9).owner[0] == v for k, v in seen.items())
+    largest = max(t.bytes, key=t.bytes.get)
+    assert {k: x.owner[0] for k, x in t.spill()} == {k: v for k, v in seen.items() if k[0] == largest}
+    rest = {k: x.owner[0] for first in list(t.bytes) for k, x in t.spill(first)}
+    assert rest == {k: v for k, v in seen.items() if k[0] != largest} and not t.size() and not list(t.spill())
 
 
 def test_trie_tells_texts_of_one_hash_apart():
     b = pa.RecordBatch.from_pydict({"i": [1, 2, 3], "t": ["ab", "ac", "ab"], "h": [7, 7, 7], "n": [2, 2, 2]})
-    (_, nodes), = exact._subtrees(iter([b]), [0, 1, 2, 3])
-    assert [x.owner[0] for x in nodes] == [1, 2, 1]
+    for spill in (0, 1 << 20):
+        (_, nodes), = exact._nodes(iter([b]), 0, 1, 2, 3, spill)
+        assert [x.owner[0] for x in nodes] == [1, 2, 1]
+
+
+def test_spilled_subtrees_change_nothing(spark, docs):
+    """Also with tasks that read many copies."""
+    d = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 5000)).unionByName(docs.withColumns({"doc_id": F.col("doc_id") - 5000, "text": F.lit("the same")})).repartition(3)
+    rows = [(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()]
+    first = {}
+    for i, x in rows:
+        first[x] = min(i, first.get(x, i))
+    for spill in (0, 3000, exact.SPILL):
+        assert sorted(map(tuple, exact.owners(d, spill).collect())) == sorted((i, first[x]) for i, x in rows)
+        assert sorted(r.doc_id for r in exact.drop_copies(d, spill).collect()) == sorted(first.values())
 
 
 def test_owners(awkward):
@@ -202,6 +257,20 @@ def test_bpe_equals_reference(spark, docs, reference_encoding):
     assert counts == {i: len(got[i].ids or []) for i, _ in rows}
 
 
+def test_bpe_awkward(spark, awkward):
+    enc = bpe.bpe_encode(awkward)
+    rows = {(r.doc_id, r.text) for r in awkward.collect()}
+    got = [(r.doc_id, r.text) for r in bpe.bpe_decode(enc).collect()]
+    assert set(got) == rows and len(got) == len(AWKWARD)
+    counts = bpe.token_counts(awkward).collect()
+    assert sorted((str(r.doc_id), r.n_tokens) for r in counts) == sorted((str(r.doc_id), len(r.ids or [])) for r in enc.collect())
+    odd = spark.createDataFrame([(1, [-1]), (2, [None]), (3, [10**9]), (4, []), (5, None), (6, [0, 1])], "doc_id long, ids array<int>")
+    back = {r.doc_id: r.text for r in bpe.bpe_decode(odd).collect()}
+    assert [back[i] for i in (1, 2, 3, 5)] == [None] * 4 and back[4] == "" and back[6]
+    with pytest.raises(FileNotFoundError):
+        bpe.bpe_encode(awkward, "/nowhere")
+
+
 def test_random_pretokens(reference_encoding):
     with open(bpe.RANKS, "rb") as f:
         v = bpe.vocabulary(f.read())
@@ -233,8 +302,40 @@ def test_token_binary(docs, awkward, reference_encoding):
     text = {r.doc_id: r.text for r in docs.collect()}
     for r in simple8b.token_binary(docs).collect():
         assert simple8b.decode_row(bytes(r.payload), r.block_offsets, r.n_tokens).tolist() == reference_encoding.encode_ordinary(text[r.doc_id])
-    got = simple8b.token_binary(awkward).where("doc_id = 1 or doc_id = 2").orderBy("doc_id").collect()
-    assert got[0].payload is None and got[0].block_offsets is None and bytes(got[1].payload) == b""
+    rows = awkward.collect()
+    got = simple8b.token_binary(awkward).collect()
+    assert len(got) == len(rows)
+    want = {r.doc_id: r.text for r in rows if r.doc_id is not None}
+    for r in got:
+        if r.payload is None:
+            assert r.block_offsets is None and r.n_tokens == 0 and want.get(r.doc_id) is None
+        elif r.doc_id is not None:
+            assert brute_decode(bytes(r.payload), r.n_tokens, r.block_offsets) == reference_encoding.encode_ordinary(want[r.doc_id])
+    empty = next(r for r in got if r.doc_id == 2)
+    assert bytes(empty.payload) == b"" and empty.block_offsets == []
+
+
+def brute_decode(payload, n, offsets):
+    """By the layout alone: a word at a time, selector and fields."""
+    table = {1: (120, 0), 2: (60, 1), 3: (30, 2), 4: (20, 3), 5: (15, 4), 6: (12, 5), 7: (10, 6), 8: (8, 7), 9: (7, 8), 10: (6, 10), 11: (5, 12), 12: (4, 15), 13: (3, 20), 14: (2, 30), 15: (1, 60)}
+    words = [int.from_bytes(payload[i : i + 8], "little") for i in range(0, len(payload), 8)]
+    out, at = [], 0
+    for k, first in enumerate(offsets):
+        assert at == first
+        left = min(128, n - 128 * k)
+        while left:
+            selector = words[at] >> 60
+            if selector:
+                count, width = table[selector]
+                found = [words[at] >> width * j & (1 << width) - 1 for j in range(min(count, left))]
+            else:
+                at += 1
+                found = [words[at]]
+            out += found
+            left -= len(found)
+            at += 1
+    assert at == len(words)
+    return out
 
 
 # 5
@@ -246,10 +347,55 @@ def test_language_held_out(spark):
     t = d.where("doc_id % 2 = 1").select("text", "lang").toArrow()
     best, posterior, ratio = langid.score(m, t["text"].combine_chunks())
     assert (np.array(langs)[best] == np.array(t["lang"].to_pylist())).mean() > 0.97 and (ratio > 0).all()
-    # brute force: one n-gram after the other
-    g, row = langid.grams(pa.array(["Thé x"]))
-    want = [c for n in (1, 2, 3) for c in _grams("thé x", n)]
-    assert len(g) == len(want) and row.max() == 0
+
+
+def test_language_scores_equal_brute_force(spark):
+    """Counts, likelihoods and posteriors by loops over characters."""
+    rows = [("fr", "Thé x, l'été"), ("fr", "Où est-ce ?"), ("en", "The tea is here"), ("en", "a b"), ("de", "Größe 12 ÄÖ")]
+    langs, m = langid.train(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, lang string, text string"))
+    assert langs == ["de", "en", "fr"]
+    mask = 2**64 - 1
+
+    def bucket(gram):
+        h = 0
+        for k, c in enumerate(gram):
+            h = (h * 0x100000001B3 + ord(c)) & mask if k else ord(c)
+        h = (h + (len(gram) << 56)) & mask
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor & mask
+        return (h ^ h >> 31) & langid.BUCKETS - 1
+
+    def buckets(text):
+        clean = "".join(c.lower() if c.isalpha() else " " for c in text)
+        return [bucket(g) for n in (1, 2, 3) for g in _grams(clean, n)]
+
+    logs = {}
+    for lang in langs:
+        count = [0.5] * langid.BUCKETS
+        for name, text in rows:
+            for k in buckets(text) if name == lang else ():
+                count[k] += 1
+        total = math.fsum(count)
+        logs[lang] = [math.log(c / total) for c in count]
+    for text in ("L'été est là", "the size", "Größe", "12 !", "", "x"):
+        joint = [sum(logs[x][k] for k in buckets(text)) + math.log(sum(n == x for n, _ in rows) / len(rows)) for x in langs]
+        best, posterior, ratio = langid.score(m, pa.array([text]))
+        if not buckets(text):
+            assert best[0] == -1 and posterior[0] == 0
+            continue
+        top = max(range(3), key=joint.__getitem__)
+        assert best[0] == top and abs(posterior[0] - 1 / sum(math.exp(j - joint[top]) for j in joint)) < 1e-4
+        assert abs(ratio[0] - (sum(logs[langs[top]][k] for k in buckets(text)) / len(buckets(text)) + math.log(langid.BUCKETS))) < 1e-4
+
+
+def test_language_bounds_its_labels(spark, docs, monkeypatch):
+    monkeypatch.setattr(langid, "LANGS", 3)
+    with pytest.raises(ValueError):
+        langid.identify(docs)
+    dotted = docs.limit(20).withColumn("a.b", F.lit(1))
+    monkeypatch.setattr(langid, "LANGS", 256)
+    assert langid.keep_identified(dotted).columns == dotted.columns
+    assert substring.cut_repeats(dotted).columns == dotted.columns and exact.drop_copies(dotted).columns == dotted.columns and ngram_join.drop_near_copies(dotted).columns == dotted.columns
 
 
 def _grams(x, n):
@@ -267,8 +413,6 @@ def test_language_awkward(awkward, docs):
     assert none and all(r.lang_pred is None and not r.accepted for r in none)
     named = langid.identify(awkward)
     assert "accepted_" in named.columns and named.count() == 12
-    junk = "zq9xkq jqzx vvkq xqj wqzk " * 30
-    assert not langid.identify(docs.limit(150).unionByName(docs.sparkSession.createDataFrame([(-1, junk, "en", "a", 1)], DOCS))).where("doc_id = -1 and confidence > 1").count()
 
 
 def test_language_rejects_what_is_in_none(spark):
@@ -297,9 +441,26 @@ def test_quality_keeps_clean_and_finds_junk(spark):
     assert r[1, True] / (r[1, True] + r.get((1, False), 0)) > 0.97 and r[0, False] / (r[0, False] + r.get((0, True), 0)) > 0.9
 
 
+def test_quality_thresholds_follow_the_source(spark):
+    """The same text is junk in one source and usual in another, however the sources differ; and no measure rejects nothing."""
+    rng = random.Random(12)
+
+    def text(signs, n=80):
+        return " ".join(rng.choice(["#", "%", "="]) if rng.random() < signs else f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    rows = [(i, text(0.02 + 0.02 * rng.random()), "en", "prose") for i in range(300)] + [(1000 + i, text(0.4 + 0.2 * rng.random()), "en", "code") for i in range(300)]
+    rows += [(2000, text(0.45), "en", "prose"), (2001, text(0.45), "en", "code")]
+    got = {r.doc_id: r.keep for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[2000] and got[2001] and sum(got[i] for i in range(300)) > 290 and sum(got[1000 + i] for i in range(300)) > 290
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert {r.reason for r in quality.judge(d).select("reason").distinct().collect()} >= {None, *quality.MEASURES}
+
+
 def test_quality_awkward_and_sketch_error(spark, awkward):
     got = quality.judge(awkward).collect()
     assert len(got) == 12 and {r.reason for r in got if r.doc_id in (1, 2, 3)} == {"empty"}
+    same = quality.judge(spark.createDataFrame([(1, "A b, c!", None, None)] * 5, "doc_id long, text string, lang string, source string")).collect()
+    assert len(same) == 5 and all(r.keep and r.reason is None for r in same)
     x = np.random.default_rng(1).lognormal(size=500)
     df = spark.createDataFrame([(float(v),) for v in x], "x double").select(F.lit("m").alias("measure"), quality.bucket(F.col("x")).alias("bucket")).groupBy("measure", "bucket").agg(F.count("*").alias("n"))
     q = quality.quantiles(df, [], {"q": 0.75}).first().q
@@ -320,36 +481,38 @@ def test_packing_is_whole_and_tight(docs, awkward):
         assert len(parts) == sum(len(b.doc_ids) for b in bins)
 
 
-def test_bin_completion_against_brute_force():
-    rng = random.Random(2)
+def optimum(sizes, c):
+    """By trying every bin for every piece."""
+    best = [len(sizes)]
 
-    def optimum(sizes, c):
-        best = [len(sizes)]
+    def go(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(rooms)
+            return
+        for r in set(rooms):
+            if r >= sizes[k]:
+                i = rooms.index(r)
+                go(k + 1, [*rooms[:i], r - sizes[k], *rooms[i + 1 :]])
+        go(k + 1, [*rooms, c - sizes[k]])
 
-        def go(k, rooms):
-            if len(rooms) >= best[0]:
-                return
-            if k == len(sizes):
-                best[0] = len(rooms)
-                return
-            for i, r in enumerate(rooms):
-                if r >= sizes[k]:
-                    go(k + 1, [*rooms[:i], r - sizes[k], *rooms[i + 1 :]])
-            go(k + 1, [*rooms, c - sizes[k]])
+    go(0, [])
+    return best[0]
 
-        go(0, [])
-        return best[0]
 
+def test_bin_completion_equals_brute_force():
+    rng = random.Random(2)
     better = 0
-    for _ in range(150):
-        sizes = sorted((rng.randrange(15, 60) for _ in range(9)), reverse=True)
+    for _ in range(1500):
+        low, high = rng.choice([1, 5, 15, 20]), rng.choice([30, 50, 60, 100])
+        sizes = sorted((rng.randrange(low, high + 1) for _ in range(rng.randrange(1, 13))), reverse=True)
         b = packing.pack(sizes, 100)
-        assert sorted(i for x in b for i in x) == list(range(9)) and all(sum(sizes[i] for i in x) <= 100 for x in b)
-        assert len(b) <= len(packing.best_fit(sizes, 100))
+        assert sorted((x for y in b for x in y), reverse=True) == sizes and all(sum(y) <= 100 for y in b)
+        want = optimum(sizes, 100)
+        assert len(b) == want >= packing.least_bins({x: sizes.count(x) for x in sizes}, 100)
         better += len(b) < len(packing.best_fit(sizes, 100))
-        assert len(b) - optimum(sizes, 100) <= 1
-    six = [44, 24, 24, 22, 21, 17, 8, 8, 6, 6]  # best-fit decreasing needs three bins of 61 here, not optimal in general
-    assert len(packing.pack(six, 61)) <= len(packing.best_fit(six, 61))
+    assert better > 20
 
 
 def test_bins_of_many_short_pieces():
@@ -363,14 +526,47 @@ def test_bins_of_many_short_pieces():
             sizes += [b - a for a, b in zip([0, *cuts], [*cuts, 100])]
         sizes.sort(reverse=True)
         b = packing.pack(sizes, 100)
-        assert sorted(i for x in b for i in x) == list(range(len(sizes))) and all(sum(sizes[i] for i in x) <= 100 for x in b)
+        assert sorted((x for y in b for x in y), reverse=True) == sizes and all(sum(y) <= 100 for y in b)
         met += len(b) == 4
         beaten += len(packing.best_fit(sizes, 100)) > 4
     assert beaten >= 10 and met == 60
-    every = {tuple(sorted([9, 7, 5, 4, 3, 3, 2][i] for i in x)) for x in packing.fillings([9, 7, 5, 4, 3, 3, 2], 17)}
+    every = {tuple(sorted(x)) for x in packing.fillings({9: 1, 7: 1, 5: 1, 4: 1, 3: 2, 2: 1}, [9, 7, 5, 4, 3, 2], 17, 0, packing.Budget(10**9))}
     assert every == {tuple(sorted(x)) for n in range(8) for x in itertools.combinations([9, 7, 5, 4, 3, 3, 2], n) if sum(x) <= 17}
 
 
+def test_packing_of_whole_shards_meets_the_bound():
+    for seed in range(3):
+        sizes = sorted(np.clip(np.random.default_rng(seed).lognormal(6, 0.8, 4096).astype(int) + 1, 1, 2048).tolist(), reverse=True)
+        assert len(packing.pack(sizes, 2048)) == -(-sum(sizes) // 2048)
+
+
+def test_packing_query_against_brute_force(spark, docs):
+    """The query's bins are whole, and as few as the best packing of each shard."""
+    bins = packing.pack_documents(docs, 400, 8).collect()
+    want = {}
+    for r in docs.collect():
+        n = len(re.findall(r"[^\t\n\x0b\f\r ]+", r.text or "")) + 1
+        want |= {(r.doc_id, p): min(400, n - at) for p, at in enumerate(range(0, n, 400))}
+    got = [((i, p), n) for b in bins for i, p, n in zip(b.doc_ids, b.pieces, b.lengths)]
+    assert len(got) == len(want) and dict(got) == want and all(b.used == sum(b.lengths) <= 400 for b in bins)
+    shards = {}
+    for b in bins:
+        shards.setdefault(b.bin_id.split("-")[0], []).append(b)
+    compared = 0
+    for of in shards.values():
+        rest = sorted((n for b in of for n in b.lengths if n < 400), reverse=True)
+        if len(rest) <= 12:
+            compared += 1
+            assert len(of) == optimum(rest, 400) + sum(n == 400 for b in of for n in b.lengths)
+    assert compared > 5
+
+
+def test_packing_of_a_giant_document_and_clashing_names(spark, awkward):
+    giant = awkward.select(F.lit(1).cast("long").alias("doc_id"), F.lit("a " * 300_000).alias("text"), F.lit(1).alias("shard"), F.lit(1).alias("hash"), F.lit(2).alias("length")).limit(1)
+    bins = packing.pack_documents(giant).collect()
+    assert sum(b.used for b in bins) == 300_001 and len(bins) == -(-300_001 // 2048) and sorted(p for b in bins for p in b.pieces) == list(range(len(bins)))
+
+
 # 8
 
 
@@ -396,19 +592,91 @@ def test_html_skipped_elements_end():
     assert isinstance(html.extract("<svg>" * 20_000 + "x"), str)
 
 
+def test_html_time_grows_with_the_page():
+    """Malformed pages of a megabyte or so; any of them would take hours if parts were scanned again and again."""
+    began = time.time()
+    for x in ("<p" * 500_000, '<a "' * 200_000, "<a '\"" * 200_000, "<a \"'" * 200_000 + "'", "<div>" * 100_000, "<p><td>" + "<span>" * 50_000 + "<hr>" * 50_000, "<span>" * 50_000 + "</x>" * 50_000, "<svg>" * 30_000, "<svg " * 50_000, "<!--" * 200_000, "<!" * 200_000, "<li>" * 50_000):
+        assert isinstance(html.extract(x), str)
+    assert time.time() - began < 120
+
+
+def brute_density(tree):
+    """The densities of all nodes by recursion, from their definition."""
+    n = len(tree.tag)
+    below = [[k for k in range(n) if tree.parent[k] == i] for i in range(n)]
+
+    def chars(i):
+        return sum(len(" ".join(t.split())) for _, at, t in tree.pieces if at == i) + sum(map(chars, below[i]))
+
+    def tags(i):
+        return sum(1 + tags(k) for k in below[i])
+
+    def link_chars(i):
+        return chars(i) if tree.tag[i] == "a" and i else sum(map(link_chars, below[i]))
+
+    def link_tags(i):
+        return (tree.tag[i] == "a" and i > 0) + sum(map(link_tags, below[i]))
+
+    body, out = tree.body, []
+    for i in range(n):
+        c, t, lc, lt = chars(i), max(tags(i), 1), link_chars(i), link_tags(i)
+        base = math.log(c / max(c - lc, 1) * lc + link_chars(body) / max(chars(body), 1) * c + math.e)
+        out.append(c / t * math.log(c / max(lc, 1) * t / max(lt, 1), base) if c and base > 1 + 1e-9 else c / t * math.log(c / max(lc, 1) * t / max(lt, 1)) if c else 0.0)
+    return out, [sum(out[k] for k in below[i]) for i in range(n)]
+
+
+def brute_text(source):
+    """Words of the content by the definition: the node of the largest sum, without block subtrees under the path's least density."""
+    tree = html.Tree(source)
+    density, total = brute_density(tree)
+
+    def path(i):
+        return [i] if i == tree.body or i < 0 else [i, *path(tree.parent[i])]
+
+    inside = [i for i in range(len(tree.tag)) if path(i)[-1] == tree.body]
+    best = max(inside, key=lambda i: (round(total[i], 9), -i))
+    if not total[best]:
+        best = tree.body
+    low = min(density[i] for i in path(best))
+
+    def kept(i):
+        if i == best:
+            return True
+        has = any(at == k or i in path(at) for _, at, _ in tree.pieces for k in [i])
+        return i in inside and i > best and best in path(i) and kept(tree.parent[i]) and (density[i] >= low - 1e-9 or not has or tree.tag[i] not in html.BLOCK)
+
+    return "".join("".join(t.split()) for _, at, t in tree.pieces if kept(at))
+
+
+def test_html_query_against_brute_force(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    got = {r.page_id: r.main_text for r in html.main_text(pages).collect()}
+    for r in pages.collect():
+        assert "".join(got[r.page_id].split()) == brute_text(r.html), r.page_id
+
+
+def test_html_awkward_tables(spark):
+    page = "<body><div><p>One paragraph of some length.</p></div><div><p>One paragraph of some length.</p></div></body>"
+    rows = [(1, page, "x"), (1, page, "x"), (None, page, None), (2, "<p>" + "long text " * 300_000, "y"), (3, None, None), (4, "", "z")]
+    d = spark.createDataFrame(rows, "page_id long, html string, main_text string")
+    got = html.main_text(d).collect()
+    assert len(got) == 6 and len({r.main_text for r in got if r.page_id in (1, None)}) == 1
+    by = {r.page_id: r.main_text for r in got}
+    assert by[3] is None and by[4] == "" and len(by[2]) == 3_000_000 - 1
+
+
 def test_html_finds_articles(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
-    good = 0
-    rows = pages.collect()
-    for r in rows:
+    good = marked = 0
+    for r in pages.collect():
         article = re.search(r"<article>(.*)</article>", r.html, re.S)
-        if article is None:
-            good += 1
+        if article is None:  # compared with brute force alone
             continue
+        marked += 1
         want = set(re.sub(r"<[^>]*>", " ", article[1]).replace("&amp;", "&").split())
         got = set(html.extract(r.html).split())
         good += len(want & got) / max(len(want | got), 1) > 0.8
-    assert good / len(rows) > 0.85
+    assert marked > 20 and good / marked > 0.85
     p = spark.createDataFrame([(1, None), (2, "")], "page_id long, html string")
     assert [tuple(r) for r in html.main_text(p).orderBy("page_id").collect()] == [(1, None), (2, "")]
 
@@ -462,6 +730,8 @@ def test_count_min_never_underestimates():
 
 
 def test_substring_awkward(awkward):
+    got = [(r.doc_id, r.start_word, r.end_word) for r in substring.repeated_spans(awkward).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_spans([(r.doc_id, r.text) for r in awkward.collect()])
     cut = substring.cut_repeats(awkward)
     assert cut.columns == awkward.columns and cut.count() == 12
     seven = cut.where("doc_id = 7").first()  # word for word in 6, but for its last word
@@ -488,32 +758,53 @@ def test_sql(spark, name):
     assert sorted(map(str, map(tuple, got.select(*names).collect()))) == want
 
 
-def test_pipeline(spark, awkward, tmp_path):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names, seen = docs.columns, docs
-    expected = None
+def brute_pipeline(rows, accepted):
+    """doc_id, text by stage, from rows (doc_id, text) and which of them the first stage accepts."""
+    stages = [[r for r, ok in zip(rows, accepted) if ok]]
+    first = {}
+    for i, x in sorted(stages[-1], key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(x, i)
+    stages.append([(i, x) for x, i in first.items()])
+    group = {i: i for i, _ in stages[-1]}
+    pairs = brute_pairs(stages[-1])
+    for _ in group:
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    stages.append([(i, x) for i, x in stages[-1] if i is None or group[i] == i])
+    gone, left = {}, []
+    for i, s, e in brute_spans(stages[-1]):
+        gone.setdefault(i, set()).update(range(s, e))
+    for i, x in stages[-1]:
+        w = [y for y in re.split(r"[\t\n\v\f\r ]+", x) if y]
+        w = [y for k, y in enumerate(w) if k not in gone.get(i, ())]
+        if w or i not in gone:
+            left.append((i, " ".join(w)))
+    stages.append(left)
+    return stages
+
+
+@pytest.mark.parametrize("table", ["documents", "awkward", "empty"])
+def test_pipeline_against_brute_force(spark, awkward, tmp_path, table):
+    real = spark.read.parquet(f"{SF}/documents.parquet")
+    passage = " ".join(f"p{k} the" for k in range(40))
+    more = [(90_000 + i, f"One start of {i} text here {passage} and its own end of words {i} {i}", "en", "a", 1) for i in range(4)] + [(90_010, passage, "en", "a", 1)]
+    docs = {"documents": real.unionByName(spark.createDataFrame(more, DOCS)), "awkward": real.unionByName(awkward.select(*real.columns)), "empty": real.limit(0)}[table]
+    (tmp_path / "in").mkdir()
+    docs.write.parquet(str(tmp_path / "in/documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "in/documents.parquet"))
+    rows = docs.collect()
+    judged = [(r.doc_id, r.text, r.accepted) for r in langid.identify(docs).collect()]
+    want = brute_pipeline([x[:2] for x in judged], [x[2] for x in judged])
+    assert sorted(map(str, (x[:2] for x in judged))) == sorted(str((r.doc_id, r.text)) for r in rows)
+    seen = docs
     for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
-        out = stage(spark, seen, SF)
-        out.write.parquet(str(tmp_path / str(k)))
-        new = spark.read.parquet(str(tmp_path / str(k)))
-        rows = [(r.doc_id, r.text) for r in seen.select("doc_id", "text").collect()]
+        stage(spark, seen, str(tmp_path / "in")).write.parquet(str(tmp_path / str(k)))
+        seen = spark.read.parquet(str(tmp_path / str(k)))
         if k < 4:
-            assert new.columns == names
-            left = {r.doc_id for r in new.select("doc_id").collect()}
-        if name == "exact dedup":
-            expected = {min(i for i, x in rows if x == t) for t in {x for _, x in rows}}
-            assert left == expected
-        elif name == "n-gram jaccard join":
-            group = {i: i for i, _ in rows}
-            for _ in rows:
-                for a, b in brute_pairs(rows):
-                    group[a] = group[b] = min(group[a], group[b])
-                break
-            again = brute_pairs([(r.doc_id, r.text) for r in new.collect()])
-            assert not again and left >= {i for i, _ in rows} - {b for _, b in brute_pairs(rows)}
-        elif name == "substring dedup":
-            assert brute_spans(rows) or left == {i for i, _ in rows}
-        seen = new
-    packed = {i for r in seen.collect() for i in r.doc_ids}
-    assert packed == left
-    assert corpus_pipeline.run(spark, SF).count() == seen.count()
+            assert seen.columns == docs.columns and dict(seen.dtypes) == dict(docs.dtypes)
+            clean = lambda x: x if k < 3 else " ".join(x.split())
+            assert sorted((str(r.doc_id), clean(r.text)) for r in seen.collect()) == sorted((str(i), clean(x)) for i, x in want[k]), name
+    pieces_ = [((i, p), n) for b in seen.collect() for i, p, n in zip(b.doc_ids, b.pieces, b.lengths)]
+    lengths = [(i, len(re.findall(r"[^\t\n\x0b\f\r ]+", x)) + 1) for i, x in want[3]]
+    assert sorted(map(str, pieces_)) == sorted(str(((i, p), min(2048, n - at))) for i, n in lengths for p, at in enumerate(range(0, n, 2048)))
+    assert corpus_pipeline.run(spark, str(tmp_path / "in")).count() == seen.count()
