@@ -36,7 +36,7 @@ class Potato(Estimator):
         return df if y is None else df.where(F.col(y) == self.pos_label)
 
     def fit(self, df, y=None, weight=None, col="cov"):
-        rows = self._usable(df, y).where(F.col(col).isNotNull()).withColumn("__id", F.monotonically_increasing_id()).persist()
+        rows = self._usable(df, y).where(F.col(col).isNotNull()).persist()
         m, d = metric_of(self.metric, "mean"), metric_of(self.metric, "distance")
         n = kept = rows.count()
         use = rows
@@ -161,5 +161,13 @@ class PotatoField(Estimator):
             raise ValueError(f"unknown combination {how!r}")
         return apply(df, list(cols), {"p": "double"}, lambda *xs: f(np.clip(ps(*xs), 1e-10, 1 - 1e-10)))
 
+    def p_value(self, z) -> float:
+        """The combined p-value of one row's z-scores."""
+        ps = np.clip(upper_tail(np.asarray(z, float)), 1e-10, 1 - 1e-10)[None]
+        if self.method_combination == "fisher":
+            return float(_gamma_tail(-np.log(ps).sum(1), ps.shape[1], lower=False)[0])
+        how = self.method_combination
+        return float((how if callable(how) else COMBINE[how])(ps)[0])
+
     def predict(self, df, cols):
         return self.predict_proba(df, cols).withColumn("prediction", F.when(F.col("p") > self.p_threshold, self.pos_label).otherwise(self.neg_label))

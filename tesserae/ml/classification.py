@@ -210,7 +210,9 @@ def simplex_qp(gram: np.ndarray, lin: np.ndarray, maxiter: int = 500, tol: float
 
 
 class NearestConvexHull(Classifier):
-    """Distance to the convex hull of a class, Euclidean or log-Euclidean.  Each class's training matrices are collected."""
+    """Distance to the convex hull of a class, Euclidean or log-Euclidean.  The training matrices are collected (LIMIT rows) and broadcast."""
+
+    LIMIT = 50_000
 
     def __init__(self, metric="logeuclid"):
         if metric not in ("euclid", "logeuclid"):
@@ -219,7 +221,9 @@ class NearestConvexHull(Classifier):
 
     def fit(self, df, y="y", weight=None, col="cov"):
         self.kind_ = label_type(df, y)
-        t = df.where(F.col(y).isNotNull() & F.col(col).isNotNull()).select(F.col(y).cast("string").alias("y"), col).toArrow()
+        t = df.where(F.col(y).isNotNull() & F.col(col).isNotNull()).select(F.col(y).cast("string").alias("y"), col).limit(self.LIMIT + 1).toArrow()
+        if t.num_rows > self.LIMIT:
+            raise ValueError(f"a hull holds all its training rows; more than {self.LIMIT}. Fit on a sample, or on means of groups")
         x, lab = decode(t[col]), np.array(t["y"].to_pylist(), object)
         self.classes_ = by_label(sorted(set(lab)), self.kind_)
         x = (logm(x) if self.metric == "logeuclid" else x).reshape(len(x), -1)
@@ -227,12 +231,12 @@ class NearestConvexHull(Classifier):
         return self
 
     def transform(self, df, col="cov", out="distances"):
-        points, metric = self.points_, self.metric
+        points, metric = df.sparkSession.sparkContext.broadcast(self.points_), self.metric
 
         def f(x):
             v = (logm(x) if metric == "logeuclid" else x).reshape(len(x), -1)
-            d = np.empty((len(v), len(points)))
-            for k, q in enumerate(points):
+            d = np.empty((len(v), len(points.value)))
+            for k, q in enumerate(points.value):
                 d[:, k] = np.linalg.norm(v - simplex_qp(q @ q.T, v @ q.T) @ q, axis=1)
             return d
 
@@ -272,9 +276,9 @@ class _KernelMachine:
     LIMIT = 20_000
 
     def _load(self, df, col, columns):
-        t = df.where(F.col(col).isNotNull()).select(col, *columns).toArrow()
+        t = df.where(F.col(col).isNotNull()).select(col, *columns).limit(self.LIMIT + 1).toArrow()
         if t.num_rows > self.LIMIT:
-            raise ValueError(f"the dual problem is dense; {t.num_rows} rows are more than {self.LIMIT}. TSClassifier with LinearSVC has no such bound")
+            raise ValueError(f"the dual problem is dense; the rows are more than {self.LIMIT}. TSClassifier with LinearSVC has no such bound")
         x = decode(t[col])
         ref = self.Cref(x) if callable(self.Cref) else self.Cref
         if ref is None and self.kernel_fct is None:

@@ -5,16 +5,18 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.frames import apply, decode
+from tesserae.frames import apply, decode, encode
 from tesserae.kernels import distance as D
 from tesserae.kernels import geometry as G
 from tesserae.kernels.mean import mean as local_mean
 from tesserae.ml.base import Estimator, metric_of
 from tesserae.operators.means import group_means, sums
-from tesserae.operators.pairs import pairwise_distance
+from tesserae.operators.pairs import _blocked, _sets, pairwise_distance
+from tesserae.shared import checkpoint
 
 
 def _sample(df: DataFrame, col: str, n: int, seed: int, id_: str) -> np.ndarray:
@@ -118,11 +120,11 @@ KERNELS = {"normal": lambda x: np.exp(-(x**2)), "uniform": lambda x: (np.abs(x)
 class MeanShift(Estimator):
     """Every matrix climbs to a mode by weighted log-map steps; modes closer than the bandwidth are one.
 
-    All modes move in one pass at a time: a pass sums kernel-weighted log maps of all rows for every
-    seeker, which are at most `seekers` matrices taken by hash of their id (all, if there are fewer).
+    All rows climb, or `seekers` of them taken by hash of their id.  They move in one pass at a time: blocks of seekers meet blocks of rows, kernel-weighted
+    log maps are summed for each pair of blocks, and the sums, a row for each seeker and block, are added up.  Each pass is cut by a checkpoint.
     """
 
-    def __init__(self, kernel="uniform", bandwidth=None, metric="riemann", tol=1e-3, max_iter=100, seekers=500):
+    def __init__(self, kernel="uniform", bandwidth=None, metric="riemann", tol=1e-3, max_iter=100, seekers=None):
         self.kernel, self.bandwidth, self.metric, self.tol, self.max_iter, self.seekers = kernel, bandwidth, metric, tol, max_iter, seekers
 
     def fit(self, df, col="cov", id_="id"):
@@ -138,33 +140,40 @@ class MeanShift(Estimator):
         else:
             self.bandwidth_ = self.bandwidth
         h = self.bandwidth_
-        modes = _sample(df, col, self.seekers, 0, id_).copy()
-        live = np.arange(len(modes))
-        rows = df.select(F.lit("").alias("key"), F.lit(1.0).alias("w"), F.col(col).alias("m"))
-        p2 = modes[0].size
+        rows = _sets(df, id_, col)
+        live = rows if self.seekers is None else rows.orderBy(F.xxhash64("id", F.lit(0)), "id").limit(self.seekers)
+        live, done, tol = checkpoint(live), None, self.tol
+
+        def f(li, lm, ri, rm):
+            sums, ws = [], []
+            for m in lm:
+                w = k(D.distance(rm, m[None], d) / h)
+                sums.append(np.tensordot(w, G.log_map(rm, m, mp), 1))
+                ws.append(w.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(li), encode(np.stack(sums), "matrix"), pa.array(np.array(ws, float))], names=["i", "s", "w"])
+
+        def step(m, s, w):
+            s = s / np.maximum(w, 1e-300)[:, None, None]
+            return np.stack([G.exp_map(v, x, mp) for v, x in zip(s, m)]), np.linalg.norm(s.reshape(len(s), -1), axis=1)
+
+        size = live.agg(F.max(F.size("m"))).first()[0] or 0
         for _ in range(self.max_iter):
-            at = modes[live]
-
-            def f(x, _, at=at):
-                out = []
-                for m in at:
-                    w = k(D.distance(x, m[None], d) / h)
-                    out.append(np.concatenate([(w[:, None, None] * G.log_map(x, m, mp)).reshape(len(x), -1), w[:, None]], 1))
-                return np.concatenate(out, 1)
-
-            s = np.ravel(sums(rows, f)[""][1]).reshape(len(live), p2 + 1)
-            step = s[:, :-1] / np.maximum(s[:, -1:], 1e-300)
-            size = np.linalg.norm(step, axis=1)
-            for i, v in zip(live, step):
-                modes[i] = G.exp_map(v.reshape(modes[0].shape), modes[i], mp)
-            live = live[size > self.tol]
-            if not len(live):
+            parts = _blocked(live, rows, f, "i long, s array<double>, w double")
+            total = parts.groupBy("i").agg(F.array(*(F.sum(F.col("s")[j]) for j in range(size))).alias("s"), F.sum("w").alias("w"))
+            moved = apply(live.join(total, live.id == total.i), ["m", "s", "w"], {"to": "matrix", "by": "double"}, step, ["id"])
+            moved = checkpoint(moved.select("id", F.col("to").alias("m"), "by"))
+            still = moved.where(F.col("by") <= tol).select("id", "m")
+            done = still if done is None else done.unionByName(still)
+            live = moved.where(F.col("by") > tol).select("id", "m")
+            if not live.limit(1).count():
                 break
+        modes = checkpoint(live if done is None else done.unionByName(live))
         df.unpersist()
         fused: list[np.ndarray] = []
-        for m in modes:
-            if all(D.distance(m, o, d) >= h for o in fused):
-                fused.append(m)
+        while len(first := modes.orderBy("id").limit(1).select("m").toArrow()["m"]):  # a job for each mode that is left
+            m = decode(first)[0]
+            fused.append(m)
+            modes = apply(modes, ["m"], {"__d": "double"}, lambda x, m=m: D.distance(x, m[None], d), ["id", "m"]).where(F.col("__d") >= h).drop("__d")
         self.modes_ = np.stack(fused)
         return self
 

@@ -22,7 +22,7 @@ from tesserae.kernels import mean as M
 from tesserae.kernels.geometry import geodesic
 
 WHOLE = ("ale", "alm", "bmp", "cheap", "thompson")
-GROUPS = 10_000
+GROUPS, HELD = 10_000, 20_000
 
 
 def _prepared(df: DataFrame, col: str, by: str | None, weight: str | None, extra: list[str] = ()) -> DataFrame:
@@ -31,14 +31,20 @@ def _prepared(df: DataFrame, col: str, by: str | None, weight: str | None, extra
     return df.where(F.col(col).isNotNull()).select(key.alias("key"), w.alias("w"), F.col(col).alias("m"), *extra)
 
 
-def sums(rows: DataFrame, f, vectors: bool = False) -> dict[str | None, tuple[float, np.ndarray]]:
-    """{key: (sum of w, sum of w * f(stack, key))} over rows (key, w, m); one pass, one shuffle of a row for each partition and key.
+def summed(rows: DataFrame, f, vectors: bool = False) -> DataFrame:
+    """(key, w, re, im): sums of w and of w * f(stack, key) over rows (key, w, m); one pass, one shuffle of a row for each partition and key.
 
-    vectors: m isn't a matrix but a vector, and so is the result.
+    vectors: m isn't a matrix but a vector, and so is the result.  A task holds the sums of HELD keys at most before it sends them on.
     """
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
+
+        def sent():
+            v = np.stack([np.ravel(t) for _, t in held.values()])
+            both = encode(np.asarray(v, complex), "complex")
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([float(s) for s, _ in held.values()]), both.field("re"), both.field("im")], names=["key", "w", "re", "im"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -54,19 +60,24 @@ def sums(rows: DataFrame, f, vectors: bool = False) -> dict[str | None, tuple[fl
                 part = np.tensordot(w[at], y, 1)
                 old = held.get(k)
                 held[k] = (w[at].sum(), part) if old is None else (old[0] + w[at].sum(), old[1] + part)
+            if len(held) > HELD:
+                yield from sent()
+                held.clear()
         if held:
-            v = np.stack([np.ravel(t) for _, t in held.values()])
-            both = encode(np.asarray(v, complex), "complex")
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([float(s) for s, _ in held.values()]), both.field("re"), both.field("im")], names=["key", "w", "re", "im"])
+            yield from sent()
 
-    parts = rows.mapInArrow(partial, "key string, w double, re array<double>, im array<double>")
-
-    def add(table: pa.Table) -> pa.Table:
+    def total(table: pa.Table) -> pa.Table:
         re, im = (sum(np.asarray(v) for v in table[c].to_pylist()) for c in ("re", "im"))
         return pa.table({"key": table["key"].slice(0, 1), "w": [sum(table["w"].to_pylist())], "re": [re.tolist()], "im": [im.tolist()]})
 
+    kind = "key string, w double, re array<double>, im array<double>"
+    return rows.mapInArrow(partial, kind).groupBy("key").applyInArrow(total, kind)
+
+
+def sums(rows: DataFrame, f, vectors: bool = False) -> dict[str | None, tuple[float, np.ndarray]]:
+    """{key: (sum of w, sum of w * f(stack, key))} of summed(), on the driver; for few keys."""
     out = {}
-    for r in parts.groupBy("key").applyInArrow(add, "key string, w double, re array<double>, im array<double>").toLocalIterator():
+    for r in summed(rows, f, vectors).toLocalIterator():
         v = np.asarray(r.re) + 1j * np.asarray(r.im) if np.any(r.im) else np.asarray(r.re)
         p = round(len(v) ** 0.5)
         out[r.key] = (r.w, v.reshape(p, p) if p * p == len(v) and not vectors else v)
@@ -98,13 +109,7 @@ def group_means(df: DataFrame, metric: str = "riemann", col: str = "cov", by: st
     if f:
         return {k: Mean(f[1](s / w)) for k, (w, s) in sums(rows.select("key", "w", "m"), lambda x, k: f[0](x)).items()}
     if metric == "kullback_sym":
-        both = sums(rows.select("key", "w", "m"), lambda x, k: np.concatenate([x.reshape(len(x), -1), np.linalg.inv(x).reshape(len(x), -1)], 1))
-        out = {}
-        for k, (w, s) in both.items():
-            s = np.ravel(s) / w
-            q = round((len(s) / 2) ** 0.5)
-            out[k] = Mean(geodesic(s[: q * q].reshape(q, q), np.linalg.inv(s[q * q :].reshape(q, q)), 0.5))
-        return out
+        return {k: Mean(_between(s / w)) for k, (w, s) in sums(rows.select("key", "w", "m"), _with_inverse).items()}
     rows = rows.select("key", "w", "m").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         start = {k: s / w for k, (w, s) in sums(rows, lambda x, k: x).items()} if init is None else None
@@ -125,6 +130,17 @@ def group_means(df: DataFrame, metric: str = "riemann", col: str = "cov", by: st
         rows.unpersist()
 
 
+def _with_inverse(x, k):
+    return np.concatenate([x.reshape(len(x), -1), np.linalg.inv(x).reshape(len(x), -1)], 1)
+
+
+def _between(s) -> np.ndarray:
+    """The middle of the arithmetic and the harmonic mean, from the mean of _with_inverse()."""
+    s = np.ravel(s)
+    q = round((len(s) / 2) ** 0.5)
+    return geodesic(s[: q * q].reshape(q, q), np.linalg.inv(s[q * q :].reshape(q, q)), 0.5)
+
+
 def _whole(rows: DataFrame, metric, p, init, tol, maxiter) -> dict[str | None, Mean]:
     ordered = "at" in rows.columns
 
@@ -151,7 +167,27 @@ def mean(df: DataFrame, metric: str = "riemann", col: str = "cov", weight: str |
 
 
 def mean_frame(df: DataFrame, metric: str = "riemann", col: str = "cov", by: str | None = None, **kw) -> DataFrame:
-    """One row for each group: key, mean, n_iter, converged.  Many small groups of iterative means run a task each instead of driver loops."""
+    """One row for each group: key, mean, n_iter, converged.
+
+    Closed-form means never leave the executors, however many groups there are; iterative means of more than GROUPS groups run a task for each
+    instead of driver loops.
+    """
+    f = None if callable(metric) else M.mapped(metric, kw.get("p"))
+    if f or metric == "kullback_sym":
+        inner, outer = (lambda x, k: f[0](x), f[1]) if f else (_with_inverse, _between)
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                keys, ws, rows = b.column("key"), b.column("w").to_numpy(), b.column("re").to_pylist()
+                got = []
+                for w, r in zip(ws, rows):
+                    v = np.asarray(r) / w
+                    q = round(len(v) ** 0.5)
+                    got.append(np.real(outer(v.reshape(q, q) if q * q == len(v) and f else v)).ravel().tolist())
+                yield pa.RecordBatch.from_arrays([keys, pa.array(got, pa.list_(pa.float64())), pa.array([1] * len(got), pa.int32()), pa.array([True] * len(got))], names=["key", "mean", "n_iter", "converged"])
+
+        rows = _prepared(df, col, by, kw.get("weight"))
+        return summed(rows, inner).mapInArrow(finish, "key string, mean array<double>, n_iter int, converged boolean")
     if by and M.mapped(metric, kw.get("p")) is None and metric not in WHOLE and not callable(metric) and df.select(by).distinct().limit(GROUPS + 1).count() > GROUPS:
         rows = _prepared(df, col, by, kw.get("weight"))
 

@@ -1,8 +1,9 @@
 """Permutation tests on matrix sets.
 
-The pair distances are computed once; every permutation is then one aggregate
-over them.  Permutations are rows of spark.range, each seeded by (seed, number),
-with the distance matrix as a broadcast (small n) or the pairs as a join.
+The pairwise test makes one pass over all pairs: sums within the classes of every permutation are added up where distances are
+computed, and a row for each permutation comes back.  Labels alone are on the driver and in the closure (LIMIT rows).  The other tests, whose
+every permutation needs means or models anew, run permutations as rows of spark.range, each seeded by (seed, number), with the matrices as a broadcast of
+checked size.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from tesserae.frames import decode
 from tesserae.kernels import distance as D
 from tesserae.kernels.mean import mean as local_mean
 from tesserae.ml.base import metric_of
-from tesserae.operators.pairs import dense, pairwise_distance
+from tesserae.operators.pairs import BROADCAST_MB, group_sums
+
+LIMIT = 2_000_000
 
 
 def multiset_perm_number(y) -> int:
@@ -77,7 +80,27 @@ def f_score(x, y, metric="riemann"):
     return (between / (len(labels) - 1)) / (within / (len(y) - len(labels)))
 
 
+class Codes:
+    """Class numbers of rows under several labellings."""
+
+    def __init__(self, ids, labellings):
+        self.ids = np.asarray(ids)
+        self.codes = np.stack([np.unique(y, return_inverse=True)[1].astype(np.int32) for y in labellings])
+        self.sizes = np.stack([np.bincount(c, minlength=self.codes.max() + 1) for c in self.codes]).astype(float)
+
+    def __call__(self, ids):
+        return self.codes[:, np.searchsorted(self.ids, ids)]
+
+
 class _Permutation:
+    def _labels(self, df, y, groups, id_, col=None):
+        """Ids, labels and groups in the order of ids, and the matrices if a column is named; after a check of their size."""
+        n, width = df.agg(F.count("*"), F.max(F.size(col)) if col else F.lit(0)).first()
+        if n > LIMIT or n * 8 * (width or 0) > BROADCAST_MB * 1e6:
+            raise ValueError(f"{n} rows of {width or 0} values are more than one task can permute; test a sample")
+        t = df.select(F.col(id_).cast("long").alias("i"), F.col(y).alias("y"), *([F.col(groups).alias("g")] if groups else []), *([F.col(col).alias("m")] if col else [])).orderBy("i").toArrow()
+        return t["i"].to_numpy(), np.array(t["y"].to_pylist()), np.array(t["g"].to_pylist()) if groups else None, decode(t["m"]) if col else None
+
     def _orders(self, y, groups):
         """(exact, number of orders, order(k)): all distinct ones if they are no more than n_perms, else seeded shuffles within groups; order 0 is the given one."""
         total = multiset_perm_number(y)
@@ -123,16 +146,19 @@ class PermutationDistance(_Permutation):
 
     def test(self, df: DataFrame, y: str = "y", groups: str | None = None, col: str = "cov", id_: str = "id"):
         df = df.where(F.col(y).isNotNull() & F.col(col).isNotNull())
-        t = df.select(F.col(id_).cast("long").alias("i"), F.col(y).alias("y"), *([F.col(groups).alias("g")] if groups else []), *([] if self.mode == "pairwise" else [F.col(col).alias("m")])).orderBy("i").toArrow()
-        lab = np.array(t["y"].to_pylist())
-        g = np.array(t["g"].to_pylist()) if groups else None
-        _, n, order = self._orders(lab, g)
-        sc = df.sparkSession.sparkContext
+        spark = df.sparkSession
         if self.mode == "pairwise":
-            d2 = sc.broadcast(dense(pairwise_distance(df, None, metric_of(self.metric, "distance"), id_, col), t["i"].to_pylist()) ** 2)
-            return self._finish(self._run(df.sparkSession, n, lambda k: pseudo_f(d2.value, order(k))))
-        x, f, metric = sc.broadcast(decode(t["m"])), t_score if self.mode == "ttest" else f_score, self.metric
-        return self._finish(self._run(df.sparkSession, n, lambda k: f(x.value, order(k), metric)))
+            ids, lab, g, _ = self._labels(df, y, groups, id_)
+            _, n, order = self._orders(lab, g)
+            codes = Codes(ids, [order(k) for k in range(n)])
+            got = {r.k: r for r in group_sums(df, codes, metric_of(self.metric, "distance"), id_, col).collect()}  # n rows
+            size, classes = len(lab), len(np.unique(lab))
+            scores = [((got[k].total / size - got[k].within) / (classes - 1)) / (got[k].within / (size - classes)) for k in range(n)]
+            return self._finish(np.array(scores))
+        _, lab, g, m = self._labels(df, y, groups, id_, col)
+        _, n, order = self._orders(lab, g)
+        x, f, metric = spark.sparkContext.broadcast(m), t_score if self.mode == "ttest" else f_score, self.metric
+        return self._finish(self._run(spark, n, lambda k: f(x.value, order(k), metric)))
 
 
 class PermutationModel(_Permutation):
@@ -143,10 +169,9 @@ class PermutationModel(_Permutation):
 
     def test(self, df: DataFrame, y: str = "y", groups: str | None = None, col: str = "cov", id_: str = "id"):
         df = df.where(F.col(y).isNotNull() & F.col(col).isNotNull())
-        t = df.select(F.col(id_).cast("long").alias("i"), F.col(y).alias("y"), F.col(col).alias("m"), *([F.col(groups).alias("g")] if groups else [])).orderBy("i").toArrow()
-        lab = np.array(t["y"].to_pylist())
-        _, n, order = self._orders(lab, np.array(t["g"].to_pylist()) if groups else None)
-        x = df.sparkSession.sparkContext.broadcast(decode(t["m"]))
+        _, lab, g, m = self._labels(df, y, groups, id_, col)
+        _, n, order = self._orders(lab, g)
+        x = df.sparkSession.sparkContext.broadcast(m)
         model, cv = self.model or _mdm(self.metric), self.cv
         return self._finish(self._run(df.sparkSession, n, lambda k: cross_validated(x.value, order(k), model, cv)))
 

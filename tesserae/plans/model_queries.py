@@ -15,7 +15,9 @@ from tesserae.operators.means import group_means, maskedmean_riemann, mean, mean
 from tesserae.operators.pairs import pairwise_distance
 from tesserae.sources import synthetic
 from tesserae.sources import tables as S
-from tesserae.streaming import OnlinePotato, OnlineWhitening, drain, keyed_means, read_events, windowed_covariance
+from tesserae.plans.closed_queries import domains, with_gaps
+from tesserae.shared import shared_folder
+from tesserae.streaming import OnlinePotato, OnlineWhitening, drain, keyed_means, read_events, read_table, stream_name
 
 QUERIES = {}
 
@@ -38,7 +40,7 @@ def _matrices(spark, named_matrices: dict):
     return spark.createDataFrame(rows, "key string, matrix array<double>")
 
 
-for _metric, _p in (("riemann", None), ("power", 0.5), ("poweuclid", 0.5), ("logdet", None), ("wasserstein", None), ("ale", None)):
+for _metric, _p in (("riemann", None), ("power", 0.5), ("logdet", None), ("wasserstein", None), ("ale", None)):
 
     def _run(spark, sf, metric=_metric, p=_p):
         return mean_frame(S.part_labels(spark, sf), metric, by="y", p=p)
@@ -57,7 +59,7 @@ for _metric in ("alm", "bmp", "cheap", "thompson"):
 
     def _run(spark, sf, metric=_metric):
         d = _regions(spark, sf)
-        return mean_frame(d.where("id < 4") if metric == "alm" else d, metric, order="id" if metric == "thompson" else None)
+        return mean_frame(d, metric, order="id" if metric == "thompson" else None)
 
     named(f"mean_{_metric}")(_run)
 
@@ -72,84 +74,17 @@ def median_riemann(spark, sf):
     return _matrices(spark, {"median": median(S.part_cov(spark, sf), "riemann").matrix})
 
 
-def _with_gaps(spark, sf):
-    """4x4 matrices of which every third lacks one channel."""
-    d = S.part_cov(spark, sf, 4)
-
-    def hole(x, i):
-        out = x.copy()
-        for k, n in enumerate(i):
-            if n % 3 == 0:
-                out[k, n % 4], out[k, :, n % 4] = np.nan, np.nan
-        return out
-
-    return apply(d.withColumn("i", F.col("id")), ["cov", "i"], {"gaps": "matrix"}, hole, ["id"]).withColumnRenamed("gaps", "cov")
-
-
 @query
 def nanmean_riemann(spark, sf):
-    return _matrices(spark, {"mean": maskedmean_riemann(_with_gaps(spark, sf), tol=1e-5, maxiter=15).matrix})
-
-
-@query
-def masks_from_nan(spark, sf):
-    return fn.nan_masks(_with_gaps(spark, sf)).select("id", "keep")
+    return _matrices(spark, {"mean": maskedmean_riemann(with_gaps(spark, sf), tol=1e-5, maxiter=15).matrix})
 
 
 @query
 def maskedmean(spark, sf):
-    d = fn.nan_masks(_with_gaps(spark, sf))
+    d = fn.nan_masks(with_gaps(spark, sf))
     return _matrices(spark, {"mean": maskedmean_riemann(d, keep="keep", tol=1e-5, maxiter=15).matrix})
 
 
-@query
-def nearest_spd(spark, sf):
-    d = S.part_cov(spark, sf).withColumn("cov", F.transform("cov", lambda v: v - 20))
-    return fn.validate(d, mode="repair").select("id", "cov")
-
-
-@query
-def geodesic_wasserstein(spark, sf):
-    d = S.part_cov(spark, sf)
-    ref = mean(d, "euclid")
-    return apply(d, ["cov"], {"out": "matrix"}, lambda x: G.geodesic(x, ref[None], 0.25, "wasserstein")).select("id", "out")
-
-
-@query
-def geodesic_thompson(spark, sf):
-    d = S.part_cov(spark, sf)
-    ref = mean(d, "euclid")
-    return apply(d, ["cov"], {"out": "matrix"}, lambda x: G.geodesic(x, ref[None], 0.25, "thompson")).select("id", "out")
-
-
-for _metric in ("euclid", "logchol", "logeuclid", "riemann", "wasserstein"):
-
-    def _run(spark, sf, metric=_metric):
-        d = S.part_cov(spark, sf, 4)
-        ref = mean(d, "euclid")
-        both = fn.at_reference(fn.at_reference(d, "log_map", ref, metric, out="t"), "exp_map", ref, metric, col="t", out="back")
-        return both.select("id", "t", "back")
-
-    named(f"log_exp_map_{_metric}")(_run)
-
-for _metric in ("logchol", "logeuclid", "riemann"):
-
-    def _run(spark, sf, metric=_metric):
-        d = S.part_cov(spark, sf, 4)
-        ref, to = mean(d, "euclid"), mean(d, "harmonic")
-        t = fn.at_reference(d, "log_map", ref, "euclid", out="t")
-        moved = fn.at_reference(t, "transport", ref, metric, "t", "moved", to)
-        return fn.inner_product(fn.at_reference(moved, "norm", ref, metric, "t", "norm"), "t", "t", ref, metric, "product").select("id", "moved", "norm", "product")
-
-    named(f"transport_{_metric}")(_run)
-
-
-@query
-def mahalanobis(spark, sf):
-    d = S.table(spark, sf, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("v"))
-    return fn.mahalanobis(d, "v", np.eye(4)).select("vec_id", "distance")
-
-
 @query
 def tangent_space_riemann(spark, sf):
     d = S.part_cov(spark, sf, 4).select("id", "cov")
@@ -157,7 +92,7 @@ def tangent_space_riemann(spark, sf):
     return ts.inverse_transform(ts.transform(d).drop("cov")).select("id", "tangent", "cov")
 
 
-for _est in ("lwf", "oas", "sch", "hub", "stu", "tyl", "mcd"):
+for _est in ("hub", "stu", "tyl", "mcd"):
 
     def _run(spark, sf, est=_est):
         e = S.embedding_epochs(spark, sf).select("id", F.slice("x", 1, 32).alias("x"))
@@ -166,24 +101,6 @@ for _est in ("lwf", "oas", "sch", "hub", "stu", "tyl", "mcd"):
     named(f"cov_{_est}")(_run)
 
 
-@query
-def cross_spectra(spark, sf):
-    return filters.CrossSpectra(2, 16, 0.5, fs=64).transform(S.embedding_epochs(spark, sf).select("id", "x"))
-
-
-@query
-def cospectra(spark, sf):
-    return filters.CoSpectra(2, 16, 0.5, fs=64).transform(S.embedding_epochs(spark, sf).select("id", "x"))
-
-
-for _coh in ("ordinary", "instantaneous", "lagged", "imaginary"):
-
-    def _run(spark, sf, coh=_coh):
-        return filters.Coherences(2, 16, 0.5, fs=64, coh=coh).transform(S.embedding_epochs(spark, sf).select("id", "x"))
-
-    named(f"coherence_{_coh}")(_run)
-
-
 @query
 def erp_covariances(spark, sf):
     e = S.embedding_epochs(spark, sf)
@@ -207,24 +124,6 @@ def block_covariances(spark, sf):
     return filters.BlockCovariances(8, [4, 4], "lwf").transform(S.embedding_epochs(spark, sf)).select("id", "cov")
 
 
-for _k in ("linear", "poly", "rbf", "laplacian", "cosine"):
-
-    def _run(spark, sf, k=_k):
-        return filters.Kernels(8, k).transform(S.embedding_epochs(spark, sf)).select("id", "cov")
-
-    named(f"channel_kernel_{_k}")(_run)
-
-
-@query
-def sliding_covariances(spark, sf):
-    e = S.table(spark, sf, "events")
-    from pyspark.sql.window import Window
-
-    t = F.row_number().over(Window.partitionBy("event_type").orderBy("ts", "event_id")) - 1
-    rows = e.select("event_type", t.cast("int").alias("t"), "value", (F.col("user_id") % 97).cast("double").alias("u"))
-    return filters.sliding_covariances(rows, "event_type", "t", ["value", "u"], 64, 32)
-
-
 def _epoch_covs(spark, sf):
     e = S.embedding_epochs(spark, sf)
     return filters.Covariances(8, "lwf").transform(e)
@@ -249,11 +148,6 @@ def spoc(spark, sf):
     return filters.SPoC(2).fit(d, "target").transform(d).select("id", "filtered")
 
 
-@query
-def bilinear_filter(spark, sf):
-    return filters.BilinearFilter(np.eye(4)[:2], log=True).transform(S.part_cov(spark, sf, 4)).select("id", "filtered")
-
-
 @query
 def ajdc(spark, sf):
     e = S.embedding_epochs(spark, sf).withColumn("subject", F.col("id") % 3).withColumn("condition", F.col("y"))
@@ -339,7 +233,7 @@ def kmeans_per_class(spark, sf):
 @query
 def mean_shift(spark, sf):
     d = S.supplier_cov(spark, sf)
-    return clustering.MeanShift(metric="logeuclid", max_iter=20, seekers=50).fit(d).predict(d).select("id", "prediction")
+    return clustering.MeanShift(metric="logeuclid").fit(d).predict(d).select("id", "prediction")
 
 
 @query
@@ -384,42 +278,31 @@ def permutation_model(spark, sf):
     return _p(spark, "model", *stats.PermutationModel(20, metric="logeuclid").test(S.supplier_cov(spark, sf), "domain"))
 
 
-def _domains(spark, sf):
-    """Parts by price class, in the domain of their size."""
-    d = S.part_labels(spark, sf)
-    return d.select("id", "cov", F.when(F.col("target") > 1400, "dear").otherwise("cheap").alias("y"), F.when(F.col("p_size") > 25, "big").otherwise("small").alias("domain"))
-
-
 @query
 def tlcenter(spark, sf):
-    return transfer.TLCenter("big").fit_transform(_domains(spark, sf)).select("id", "domain", "cov")
+    return transfer.TLCenter("big").fit_transform(domains(spark, sf)).select("id", "domain", "cov")
 
 
 @query
 def tlscale(spark, sf):
-    return transfer.TLScale("big").fit_transform(_domains(spark, sf)).select("id", "domain", "cov")
+    return transfer.TLScale("big").fit_transform(domains(spark, sf)).select("id", "domain", "cov")
 
 
 @query
 def tlrotate(spark, sf):
-    d = transfer.TLCenter("big").fit_transform(_domains(spark, sf))
+    d = transfer.TLCenter("big").fit_transform(domains(spark, sf))
     return transfer.TLRotate("big").fit_transform(d).select("id", "domain", "cov")
 
 
 @query
 def tlrotate_vectors(spark, sf):
-    d = tangent.TangentSpace("logeuclid").fit_transform(_domains(spark, sf))
+    d = tangent.TangentSpace("logeuclid").fit_transform(domains(spark, sf))
     return transfer.TLRotate("big", vectors=True).fit_transform(d, col="tangent").select("id", "tangent")
 
 
-@query
-def tl_split(spark, sf):
-    return transfer.TLSplitter("big", 5).folds(_domains(spark, sf)).select("id", "domain", "fold")
-
-
 @query
 def tl_classifier(spark, sf):
-    d = _domains(spark, sf)
+    d = domains(spark, sf)
     m = transfer.TLClassifier("big", classification.MDM("logeuclid"), {"big": 1.0, "small": 0.5})
     return m.fit(d).predict(d).select("id", "prediction")
 
@@ -432,15 +315,10 @@ def tl_regressor(spark, sf):
 
 @query
 def mdwm(spark, sf):
-    d = _domains(spark, sf)
+    d = domains(spark, sf)
     return transfer.MDWM(0.5, "big").fit(d).predict(d).select("id", "prediction")
 
 
-@query
-def random_over_sampler(spark, sf):
-    return synthetic.random_over_sample(_domains(spark, sf).select("id", "cov", "y"))
-
-
 @query
 def sample_gaussian(spark, sf):
     return synthetic.sample_gaussian(spark, 200, np.eye(2), 0.7, seed=1, partitions=4)
@@ -475,46 +353,44 @@ def make_classification_transfer(spark, sf):
     return synthetic.make_classification_transfer(spark, 25, theta=0.3, stretch=1.2, seed=4)
 
 
-@query
-def pairwise_summary(spark, sf):
-    p = pairwise_distance(S.supplier_cov(spark, sf), metric="thompson")
-    return p.agg(F.count("*").alias("pairs"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.max("d"), 6).alias("farthest"))
-
-
-def _stream_name(name):
-    import uuid
-
-    return f"{name}_{uuid.uuid4().hex[:8]}"
-
-
-@query
-def stream_windowed_cov(spark, sf):
-    e = read_events(spark, sf)
-    w = windowed_covariance(e, "ts", ["value", (F.col("user_id") % 97).cast("double")], ["event_type"], "1 day", "12 hours", "1 day")
-    return drain(w, _stream_name("windows"), "complete")
-
-
 @query
 def stream_online_mean(spark, sf):
     e = read_events(spark, sf)
     rows = e.select("event_type", "event_id", F.array(1 + F.abs("value"), F.lit(0.1), F.lit(0.1), 1 + (F.col("user_id") % 7).cast("double")).alias("cov"))
-    return drain(keyed_means(rows, "event_type", "event_id"), _stream_name("means"), "update")
+    return drain(keyed_means(rows, "event_type", "event_id"), stream_name("means"), "update")
+
+
+def _order_stream(spark, sf):
+    """Orders as a stream of 2x2 matrices."""
+    o = read_table(spark, sf, "orders")
+    x, y = F.col("o_totalprice") / 1e5 + 0.1, F.col("o_custkey") % 7 + 1.0
+    return o.select(F.col("o_orderkey").alias("id"), F.array(x + 1, F.lit(0.1), F.lit(0.1), y).alias("cov"), F.array(y, F.lit(0.2), F.lit(0.2), x + 2).alias("other"))
 
 
 @query
 def stream_online_potato(spark, sf):
-    d = S.part_cov(spark, sf)
-    model = OnlinePotato(artifacts.Potato(threshold=3).fit(d.where("id % 2 = 0")), "id")
-    model(d.where("id % 2 = 1"), 0)
-    return spark.createDataFrame([(k, float(z)) for k, z in enumerate(model.scores)], "step int, z double")
+    d = _order_stream(spark, sf).where("id % 40 = 0")
+    still = S.table(spark, sf, "orders").where("o_orderkey % 40 = 1")
+    x, y = F.col("o_totalprice") / 1e5 + 0.1, F.col("o_custkey") % 7 + 1.0
+    fitted = artifacts.Potato(threshold=3).fit(still.select(F.array(x + 1, F.lit(0.1), F.lit(0.1), y).alias("cov")))
+    folder = f"{shared_folder(spark)}/{stream_name('potato')}"
+    OnlinePotato(fitted, "id", folder=folder).run(d)
+    return spark.read.parquet(f"{folder}/out").select("at", F.col("z")[0].alias("z"))
 
 
 @query
-def stream_online_whitening(spark, sf):
-    d = S.part_cov(spark, sf)
-    model = OnlineWhitening(tangent.Whitening("riemann"), "id")
-    for k in range(3):
-        model(d.where(f"id % 3 = {k}"), k)
-    return model.model.transform(d).select("id", "cov")
+def stream_online_potato_field(spark, sf):
+    d = _order_stream(spark, sf).where("id % 40 = 0")
+    still = S.table(spark, sf, "orders").where("o_orderkey % 40 = 1")
+    x, y = F.col("o_totalprice") / 1e5 + 0.1, F.col("o_custkey") % 7 + 1.0
+    two = still.select(F.array(x + 1, F.lit(0.1), F.lit(0.1), y).alias("cov"), F.array(y, F.lit(0.2), F.lit(0.2), x + 2).alias("other"))
+    folder = f"{shared_folder(spark)}/{stream_name('field')}"
+    OnlinePotato(artifacts.PotatoField(2).fit(two, ["cov", "other"]), "id", ["cov", "other"], folder=folder).run(d)
+    return spark.read.parquet(f"{folder}/out").select("at", "z")
 
 
+@query
+def stream_online_whitening(spark, sf):
+    folder = f"{shared_folder(spark)}/{stream_name('whitening')}"
+    OnlineWhitening(tangent.Whitening("riemann"), "id", folder=folder).run(_order_stream(spark, sf).where("id % 10 = 0").select("id", "cov"))
+    return spark.read.parquet(f"{folder}/out").select("id", "cov")

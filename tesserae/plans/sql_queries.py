@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tesserae import columns as X
 from tesserae import functions as fn
@@ -12,6 +11,7 @@ from tesserae.kernels import geometry as G
 from tesserae.ml.artifacts import Potato
 from tesserae.ml.classification import MDM, KNearestNeighbor, KNearestNeighborRegressor, class_distinctiveness
 from tesserae.operators.means import mean, mean_frame
+from tesserae.operators.order import numbered
 from tesserae.operators.pairs import kernel, pairwise_distance
 from tesserae.operators.transfer import TLCenter, TLScale, decode_domains, encode_domains
 from tesserae.sources import tables as S
@@ -302,7 +302,8 @@ def _geodesic(metric):
 
     def run(spark, sf):
         d = S.part_cov(spark, sf)
-        ids = d.select("id").withColumn("next", F.lead("id").over(Window.partitionBy(F.lit(0)).orderBy("id"))).where("next is not null")
+        n = numbered(d.select("id"), [], F.floor(F.col("id") / 10_000), ["id"], "k")
+        ids = n.join(n.select(F.col("id").alias("next"), (F.col("k") - 1).alias("k")), "k").select("id", "next")
         pairs = d.join(ids, "id").join(d.select(F.col("id").alias("next"), F.col("cov").alias("other")), "next")
         return fn.geodesic(pairs, "cov", "other", alpha, metric).select("id", *entries("out"))
 
@@ -426,16 +427,16 @@ w AS (SELECT coalesce(sum(s / cn.n), 0) AS w FROM (SELECT ya, sum(d2) AS s FROM
 SELECT round(((t / n - w) / (k - 1)) / nullif(w / nullif(n - k, 0), 0), 9) AS f FROM t, n, w"""
 )
 def permanova_f(spark, sf):
-    """Observed pseudo-F of nations, without collecting the pairs."""
+    """Observed pseudo-F of nations, in one pass over the pairs, which are neither kept nor collected."""
     d = S.supplier_cov(spark, sf)
     lab = d.select("id", "y")
     p = pairwise_distance(d).withColumn("d2", F.col("d") * F.col("d"))
     p = p.join(lab.select(F.col("id").alias("i"), F.col("y").alias("yi")), "i").join(lab.select(F.col("id").alias("j"), F.col("y").alias("yj")), "j")
     n = lab.groupBy("y").agg(F.count("*").alias("n"))
     size = n.agg(F.sum("n").alias("n_all"), F.count("*").alias("k"))
-    within = p.where("yi = yj").groupBy(F.col("yi").alias("y")).agg(F.sum("d2").alias("s")).join(n, "y").agg(F.coalesce(F.sum(F.col("s") / F.col("n")), F.lit(0.0)).alias("w"))
-    t = p.agg(F.sum("d2").alias("t"))
-    return t.crossJoin(within).crossJoin(size).select(F.round(F.expr("((t / n_all - w) / (k - 1)) / nullif(w / nullif(n_all - k, 0), 0)"), 9).alias("f"))
+    of = p.groupBy(F.when(F.col("yi") == F.col("yj"), F.col("yi")).alias("y")).agg(F.sum("d2").alias("s")).join(n, "y", "left")
+    both = of.agg(F.sum("s").alias("t"), F.coalesce(F.sum(F.col("s") / F.col("n")), F.lit(0.0)).alias("w"))
+    return both.crossJoin(size).select(F.round(F.expr("((t / n_all - w) / (k - 1)) / nullif(w / nullif(n_all - k, 0), 0)"), 9).alias("f"))
 
 
 @query(f"WITH {S2} SELECT id, domain || '/' || y AS y_enc, y, domain FROM d")

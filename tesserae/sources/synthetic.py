@@ -197,9 +197,8 @@ def random_over_sample(df: DataFrame, y: str = "y", sampling_strategy="auto", me
 
     sampling_strategy: auto or "not majority", minority, "not minority", all, or {label: rows}.  New ids follow the largest id.
     """
-    from pyspark.sql.window import Window
-
     from tesserae.functions import geodesic
+    from tesserae.operators.order import numbered
 
     df = df.where(F.col(y).isNotNull() & F.col(col).isNotNull())
     counts = {r[0]: r[1] for r in df.groupBy(y).count().collect()}
@@ -214,7 +213,7 @@ def random_over_sample(df: DataFrame, y: str = "y", sampling_strategy="auto", me
     need = {k: want[k] - n for k, n in counts.items() if want[k] > n}
     if not need:
         return df.select(id_, col, y)
-    ranked = df.select(F.col(y).alias("__y"), F.col(col).alias("__m"), (F.row_number().over(Window.partitionBy(y).orderBy(id_)) - 1).alias("__r"))
+    ranked = numbered(df.select(F.col(y).alias("__y"), F.col(col).alias("__m"), F.col(id_).alias("__i")), ["__y"], F.floor(F.col("__i") / 10_000), ["__i"], "__r").withColumn("__r", F.col("__r").cast("int")).drop("__i")
     spark = df.sparkSession
     base = df.agg(F.max(id_)).first()[0] + 1
     starts = dict(zip(need, np.r_[base, base + np.cumsum(list(need.values()))].tolist()))

@@ -2,36 +2,44 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.frames import decode
 from tesserae.kernels import distance as D
 from tesserae.kernels import geometry as G
-from tesserae.ml.artifacts import Potato
+from tesserae.ml.artifacts import Potato, PotatoField
+from tesserae.ml.base import metric_of
+from tesserae.shared import shared_folder
 
 
-def read_events(spark: SparkSession, sf_dir: str, schema: T.StructType | None = None) -> DataFrame:
-    """The events table as a stream; the zone-less timestamp becomes one that a watermark takes."""
-    schema = schema or spark.read.parquet(f"{sf_dir}/events.parquet").schema
+def read_table(spark: SparkSession, sf_dir: str, name: str, schema: T.StructType | None = None) -> DataFrame:
+    """A sample table as a stream."""
     import os
 
-    if os.path.isdir(f"{sf_dir}/events.parquet"):
-        s = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet")
-    else:
-        s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    return s.withColumn("ts", F.col("ts").cast("timestamp"))
+    schema = schema or spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    if os.path.isdir(f"{sf_dir}/{name}.parquet"):
+        return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parquet")
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
+def read_events(spark: SparkSession, sf_dir: str, schema: T.StructType | None = None) -> DataFrame:
+    """The events table as a stream; the zone-less timestamp becomes one that a watermark takes."""
+    return read_table(spark, sf_dir, "events", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_covariance(df: DataFrame, ts: str, channels: list, by: list[str], size: str, slide: str | None = None, late: str | None = None) -> DataFrame:
     """Population covariance of the channels (columns or expressions) in event-time windows; works on streams and on tables.
 
-    Rows later than `late` behind the newest are dropped, on streams only.
+    Rows later than `late` behind the newest are dropped, on streams only, which must name it: without a watermark a window's state would never go.
     """
+    if df.isStreaming and not late:
+        raise ValueError("a stream needs `late`, after which windows are closed")
     cs = [F.col(c) if isinstance(c, str) else c for c in channels]
     names = [f"__c{i}" for i in range(len(cs))]
     df = df.withColumns(dict(zip(names, cs)))
@@ -43,49 +51,101 @@ def windowed_covariance(df: DataFrame, ts: str, channels: list, by: list[str], s
 
 
 class OnlineModel:
-    """A model that a stream keeps up to date through foreachBatch; rows of a batch are applied in event order, one by one.
+    """A model that a stream keeps up to date through foreachBatch.
 
-    The state moves only after a batch is done and remembers the batch's number, so a repeated batch changes nothing.
+    The state moves only after a batch is done and remembers the batch's number, so a repeated batch changes nothing.  With a folder, which all
+    executors share, the state and what emit() gives are written there after each batch, and a new object with the same folder goes
+    on where the last one stopped, as the stream's own offsets do.
     """
 
-    def __init__(self, model, order: str, col: str = "cov", on_batch: Callable | None = None):
-        self.model, self.order, self.col, self.on_batch, self.seen = model, order, col, on_batch, -1
+    def __init__(self, model, order: str, col: str | list[str] = "cov", on_batch: Callable | None = None, folder: str | None = None):
+        self.model, self.order, self.col, self.on_batch, self.folder, self.seen = model, order, col, on_batch, folder, -1
+
+    def state(self) -> dict:
+        return {"model": self.model}
+
+    def restore(self, spark: SparkSession) -> OnlineModel:
+        """Takes up the last state in the folder, if there is one."""
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/state")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            last = spark.read.parquet(f"{self.folder}/state").orderBy(F.desc("number")).first()
+            if last and last.number > self.seen:
+                vars(self).update(pickle.loads(bytes(last.state)), seen=last.number)
+        return self
 
     def __call__(self, batch: DataFrame, number: int) -> None:
+        if self.folder and self.seen < 0:
+            self.restore(batch.sparkSession)
         if number <= self.seen:
             return
-        self.apply(batch)
+        out = self.apply(batch)
         if self.on_batch:
             self.on_batch(self.model, batch, number)
+        if self.folder:
+            spark = batch.sparkSession
+            if out is not None:
+                out.write.mode("overwrite").parquet(f"{self.folder}/out/batch={number}")
+            row = spark.createDataFrame([(number, bytearray(pickle.dumps(self.state())))], "number long, state binary")
+            row.coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/state/batch={number}")  # last: it says that the batch is done
         self.seen = number
 
-    def apply(self, batch: DataFrame) -> None:
+    def apply(self, batch: DataFrame) -> DataFrame | None:
+        """Moves the model by a batch and gives what is to be written of it."""
         raise NotImplementedError
 
+    def run(self, stream: DataFrame, name: str | None = None) -> OnlineModel:
+        """Takes all that is there now from the stream, batch by batch."""
+        if self.folder and self.seen < 0:
+            self.restore(stream.sparkSession)
+        where = f"{self.folder or shared_folder(stream.sparkSession)}/offsets-{name or uuid.uuid4().hex}"
+        stream.writeStream.foreachBatch(self).option("checkpointLocation", where).trigger(availableNow=True).start().awaitTermination()
+        return self
+
 
 class OnlinePotato(OnlineModel):
-    """Scores every row, then moves the potato by alpha(t) with each accepted one."""
+    """Scores every row in event order, one by one, then moves the potato by alpha(t) with each accepted one.
+
+    A potato field (col: its matrix columns) does so with each of its potatoes if the field accepts the row.  Rows come to the
+    driver in order through an iterator, as each score depends on all rows before; scores of a batch are in `scores`, and in the folder.
+    """
 
-    def __init__(self, model: Potato, order: str, col: str = "cov", alpha=0.01, on_batch=None):
-        super().__init__(model, order, col, on_batch)
+    def __init__(self, model: Potato | PotatoField, order: str, col: str | list[str] = "cov", alpha=0.01, on_batch=None, folder=None):
+        super().__init__(model, order, col, on_batch, folder)
         self.alpha, self.t, self.scores = alpha, 0, []
 
+    def state(self):
+        return {"model": self.model, "t": self.t}
+
+    def _rows(self, batch: DataFrame) -> Iterator:
+        cols = [self.col] if isinstance(self.col, str) else self.col
+        rows = batch.where(" and ".join(f"`{c}` is not null" for c in cols)).select(F.col(self.order).cast("long").alias("at"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(cols))).orderBy("at")
+        for r in rows.toLocalIterator():
+            yield r[0], [np.asarray(x, float).reshape(round(len(x) ** 0.5), -1) for x in r[1:]]
+
     def apply(self, batch):
-        t = batch.where(F.col(self.col).isNotNull()).orderBy(self.order).select(self.col).toArrow()
-        for x in decode(t[self.col]) if t.num_rows else []:
-            d = float(np.log(D.distance(x, self.model.mean_, self.model.metric)))
-            z = (d - self.model.mu_) / self.model.sigma_
-            self.scores.append(z)
+        field = isinstance(self.model, PotatoField)
+        potatoes = self.model.potatoes_ if field else [self.model]
+        self.scores, at = [], []
+        for when, xs in self._rows(batch):
+            z = [(float(np.log(D.distance(x, p.mean_, metric_of(p.metric, "distance")))) - p.mu_) / p.sigma_ for x, p in zip(xs, potatoes)]
+            accepted = self.model.p_value(z) > self.model.p_threshold if field else z[0] < self.model.threshold
+            at.append(when)
+            self.scores.append(z if field else z[0])
             self.t += 1
-            if z < self.model.threshold:
-                self.model.update(x, self.alpha(self.t) if callable(self.alpha) else self.alpha)
+            if accepted:
+                for x, p in zip(xs, potatoes):
+                    p.update(x, self.alpha(self.t) if callable(self.alpha) else self.alpha)
+        if at:
+            return batch.sparkSession.createDataFrame([(w, [float(v) for v in np.atleast_1d(z)]) for w, z in zip(at, self.scores)], "at long, z array<double>")
 
 
 class OnlineWhitening(OnlineModel):
-    """Whitening.partial_fit on every batch."""
+    """Whitening.partial_fit on every batch; what is written is the batch, whitened."""
 
     def apply(self, batch):
         self.model.partial_fit(batch.select(self.col), col=self.col)
+        if self.folder and hasattr(self.model, "mean_"):
+            return self.model.transform(batch, self.col)
 
 
 def keyed_means(stream: DataFrame, key: str, order: str, col: str = "cov", alpha: float = 0.1) -> DataFrame:
@@ -113,9 +173,13 @@ def keyed_means(stream: DataFrame, key: str, order: str, col: str = "cov", alpha
     return stream.groupBy(key).applyInPandasWithState(step, out, state, "update", "NoTimeout")
 
 
+def stream_name(name: str) -> str:
+    return f"{name}_{uuid.uuid4().hex[:8]}"
+
+
 def drain(df: DataFrame, name: str, mode: str = "append", checkpoint: str | None = None) -> DataFrame:
     """Runs a stream over all that is there now and gives the result as a table (in memory; for tests and small results)."""
-    w = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
+    where = checkpoint or f"{shared_folder(df.sparkSession)}/offsets-{name}"
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).start()
     q.awaitTermination()
     return df.sparkSession.table(name)
