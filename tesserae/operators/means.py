@@ -228,12 +228,15 @@ def median(df: DataFrame, metric: str = "euclid", col: str = "cov", weight: str
         rows.unpersist()
 
 
-def maskedmean_riemann(df: DataFrame, col: str = "cov", keep: str | None = None, weight: str | None = None, tol: float = 1e-8, maxiter: int = 50, init=None) -> Mean:
+def maskedmean_riemann(df: DataFrame, col: str = "cov", keep: str | None = None, mask: str | None = None, weight: str | None = None, tol: float = 1e-8, maxiter: int = 50, init=None) -> Mean:
     """Riemannian mean of matrices of which only some channels are there.
 
-    keep is a column of 0/1 for each channel; without it, rows and columns of NaN are missing (nanmean).
+    keep is a column of 0/1 for each channel; mask one of semi-orthogonal p x m matrices, row by row, through which the matrices are seen; without
+    either, rows and columns of NaN are missing (nanmean).
     """
-    rows = _prepared(df, col, None, weight, [F.col(keep).alias("keep")] if keep else []).persist(StorageLevel.MEMORY_AND_DISK)
+    if keep and mask:
+        raise ValueError("give keep or mask, not both")
+    rows = _prepared(df, col, None, weight, [F.col(keep or mask).alias("keep")] if keep or mask else []).persist(StorageLevel.MEMORY_AND_DISK)
     try:
 
         def term(state):
@@ -242,8 +245,18 @@ def maskedmean_riemann(df: DataFrame, col: str = "cov", keep: str | None = None,
                     if not b.num_rows:
                         continue
                     x, w = decode(b.column("m")), b.column("w").to_numpy()
-                    masks = np.array(b.column("keep").to_pylist(), bool) if keep else M.masks_from_nan(x)
                     p = x.shape[-1]
+                    if mask:
+                        total = np.zeros((p, p))
+                        kinds: dict[tuple, list[int]] = {}
+                        for i, q in enumerate(b.column("keep").to_pylist()):
+                            kinds.setdefault(tuple(q), []).append(i)
+                        for q, at in kinds.items() if state is not None else ():
+                            q = np.asarray(q).reshape(p, -1)
+                            total += np.tensordot(w[at], M.masked_term(state, q.T @ x[at] @ q, q), 1)
+                        yield pa.RecordBatch.from_pydict({"w": [float(w.sum())], "s": [total.ravel().tolist()], "c": [np.full(p * p, w.sum()).tolist()]})
+                        continue
+                    masks = np.array(b.column("keep").to_pylist(), bool) if keep else M.masks_from_nan(x)
                     total = np.zeros((p, p))
                     count = np.zeros((p, p))
                     kinds, which = np.unique(masks, axis=0, return_inverse=True)
@@ -264,7 +277,7 @@ def maskedmean_riemann(df: DataFrame, col: str = "cov", keep: str | None = None,
 
         if init is None:
             w, s, c = term(None)
-            init = np.where(c > 0, s / np.maximum(c, 1e-300), 0) + 1e-6 * np.eye(len(s)) if not keep else np.eye(len(s))
+            init = np.where(c > 0, s / np.maximum(c, 1e-300), 0) + 1e-6 * np.eye(len(s)) if not keep and not mask else np.eye(len(s))
         m, nu, last, k = init, 1.0, np.inf, 0
         while True:
             w, grad, _ = term(m)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tesserae import functions as fn
 from tesserae.frames import apply
 from tesserae.kernels import geometry as G
-from tesserae.ml import artifacts, filters, tangent
+from tesserae.ml import artifacts, composite, filters, tangent
 from tesserae.operators import stats, transfer
 from tesserae.operators.means import mean, mean_frame
 from tesserae.operators.order import numbered
@@ -353,20 +353,20 @@ w AS (SELECT sum(s / n) AS w FROM (SELECT ga, sum(d2) AS s FROM p WHERE ga = gb
 
 # matrices that lack something
 
-_low = f"""WITH {C2}, h AS (SELECT id, m00 - 20 AS m00, m01 - 20 AS m01, m11 - 20 AS m11 FROM c), v AS (SELECT *, (m00 + m11 + r) / 2 AS x, (m00 + m11 - r) / 2 AS y FROM (SELECT *, sqrt((m00 - m11) ** 2 + 4 * m01 * m01) AS r FROM h)),
-f AS (SELECT *, CASE WHEN x > 0 THEN x ELSE 1e-6 END AS fx, CASE WHEN y > 0 THEN y ELSE 1e-6 END AS fy, (m00 - y) / (x - y) AS p00, m01 / (x - y) AS p01, (m11 - y) / (x - y) AS p11 FROM v)"""
+_low = f"""WITH {C2}, h AS (SELECT id, m00 - OFF AS m00, m01 - OFF AS m01, m11 - OFF AS m11 FROM c), v AS (SELECT *, (m00 + m11 + r) / 2 AS x, (m00 + m11 - r) / 2 AS y FROM (SELECT *, sqrt((m00 - m11) ** 2 + 4 * m01 * m01) AS r FROM h)),
+f AS (SELECT *, CASE WHEN y > 0 THEN x ELSE greatest(x, 0) + 1e-6 END AS fx, CASE WHEN y > 0 THEN y ELSE 1e-6 END AS fy, (m00 - y) / (x - y) AS p00, m01 / (x - y) AS p01, (m11 - y) / (x - y) AS p11 FROM v)"""
 
 
-@query(f"{_low} SELECT id, {_m(('fx * p00 + fy * (1 - p00)', '(fx - fy) * p01', 'fx * p11 + fy * (1 - p11)'), 4)} FROM f")
+@query(f"{_low.replace('OFF', '20')} SELECT id, {_m(('fx * p00 + fy * (1 - p00)', '(fx - fy) * p01', 'fx * p11 + fy * (1 - p11)'), 4)} FROM f")
 def nearest_spd(spark, sf):
     d = S.part_cov(spark, sf).withColumn("cov", F.transform("cov", lambda v: v - 20))
     return fn.validate(d, mode="repair").select("id", *coarse("cov"))
 
 
-@query(f"{_low} SELECT id, {_m(M)} FROM f WHERE y > 0")
+@query(f"{_low.replace('OFF', '7')} SELECT id, {_m(M)} FROM f WHERE y > 0")
 def validated(spark, sf):
     """What isn't positive definite is dropped."""
-    d = S.part_cov(spark, sf).withColumn("cov", F.transform("cov", lambda v: v - 20))
+    d = S.part_cov(spark, sf).withColumn("cov", F.transform("cov", lambda v: v - 7))
     return fn.validate(d, mode="drop").select("id", *entries("cov"))
 
 
@@ -512,7 +512,7 @@ g AS (SELECT domain, avg(m00) AS m00, avg(m01) AS m01, avg(m11) AS m11 FROM k GR
 def domains(spark, sf):
     """Parts by price class, in the domain of their size."""
     d = S.part_labels(spark, sf)
-    return d.select("id", "cov", F.when(F.col("target") > 1400, "dear").otherwise("cheap").alias("y"), F.when(F.col("p_size") > 25, "big").otherwise("small").alias("domain"))
+    return d.select("id", "cov", F.when(F.col("target") > 950, "dear").otherwise("cheap").alias("y"), F.when(F.col("p_size") > 25, "big").otherwise("small").alias("domain"))
 
 
 @query(f"{_DOM} SELECT id, k.domain AS domain, {_m(sxs(SI, three('k')))} FROM k JOIN s ON k.domain = s.domain")
@@ -569,11 +569,63 @@ def stream_windowed_cov(spark, sf):
     return drain(w, stream_name("windows"), "complete").select(F.unix_timestamp("start").alias("start"), "event_type", "n", *entries("cov"))
 
 
-@query("""WITH k AS (SELECT CASE WHEN p_retailprice > 1400 THEN 'dear' ELSE 'cheap' END AS y FROM part JOIN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) >= 12) ON l_partkey = p_partkey)
+@query("""WITH k AS (SELECT CASE WHEN p_retailprice > 950 THEN 'dear' ELSE 'cheap' END AS y FROM part JOIN (SELECT l_partkey FROM lineitem GROUP BY 1 HAVING count(*) >= 12) ON l_partkey = p_partkey)
 SELECT y, (SELECT max(n) FROM (SELECT count(*) AS n FROM k GROUP BY y)) AS n FROM k GROUP BY y""")
 def random_over_sampler(spark, sf):
     """Afterwards, every class has as many rows as the largest."""
     return synthetic.random_over_sample(domains(spark, sf).select("id", "cov", "y")).groupBy("y").agg(F.count("*").alias("n"))
 
 
+# composites
+
+_HYBRID = _PAIRS8.replace("range(0, 3)", "range(0, 4)")
+
+
+@query(f"WITH {_HYBRID}, o AS (SELECT id, i, j, CASE WHEN i < 2 THEN dot ELSE exp(-d2 / 8) END AS v FROM p) SELECT id, {_r(k00='max(v) FILTER (i = 0 AND j = 0)', k01='0.9 * max(v) FILTER (i = 0 AND j = 1)', k23='max(v) FILTER (i = 2 AND j = 3)')}, 0.0 AS k12 FROM o GROUP BY id".replace("max(v) FILTER (i = 0 AND j = 0)", "0.9 * max(v) FILTER (i = 0 AND j = 0) + 0.05 * (max(v) FILTER (i = 0 AND j = 0) + max(v) FILTER (i = 1 AND j = 1))"))
+def hybrid_blocks(spark, sf):
+    e = S.embedding_epochs(spark, sf).select("id", "x")
+    out = composite.HybridBlocks(8, [2, 6], ["linear", "rbf"], [0.1, 0]).fit().transform(e)
+    c = lambda i, j: F.round(F.col("cov")[8 * i + j] + SHIFT, 6).alias(f"k{i}{j}")
+    return out.select("id", c(0, 0), c(0, 1), c(2, 3), F.col("cov")[8 + 2].alias("k12"))
+
+
+_PIXELS = "px AS (SELECT (vec_id // 25)::INT AS \"row\", (vec_id % 25)::INT AS col, embedding[1]::DOUBLE AS v0, embedding[2]::DOUBLE AS v1 FROM embeddings)"
+
+
+def pixels(spark, sf):
+    """The first two entries of the embeddings as an image of 25 columns."""
+    e = S.table(spark, sf, "embeddings")
+    return e.select(F.floor(F.col("vec_id") / 25).cast("int").alias("row"), (F.col("vec_id") % 25).cast("int").alias("col"), F.slice(F.col("embedding").cast("array<double>"), 1, 2).alias("v"))
+
+
+@query(f"""WITH {_PIXELS}, w AS (SELECT a."row", a.col, b."row" - a."row" AS dr, b.col - a.col AS dc, b.v0, b.v1 FROM px a JOIN px b ON b."row" BETWEEN a."row" AND a."row" + 4 AND b.col BETWEEN a.col AND a.col + 4 WHERE a."row" % 2 = 0 AND a.col % 2 = 0)
+SELECT "row", col, {_r(x1='max(v0) FILTER (dr = 0 AND dc = 1)', x30='max(v1) FILTER (dr = 1 AND dc = 0)', total='sum(v0 + 2 * v1)')}, 50 AS size FROM w GROUP BY "row", col HAVING count(*) = 25""")
+def image_windows(spark, sf):
+    w = composite.image_windows(pixels(spark, sf), 5, 2)
+    x = F.col("x")
+    total = F.aggregate(F.slice(x, 1, 25), F.lit(0.0), lambda s, v: s + v) + 2 * F.aggregate(F.slice(x, 26, 25), F.lit(0.0), lambda s, v: s + v)
+    return w.select("row", "col", F.round(x[1] + SHIFT, 6).alias("x1"), F.round(x[30] + SHIFT, 6).alias("x30"), F.round(total + SHIFT, 6).alias("total"), F.size("x").alias("size"))
+
+
+@query(f"""WITH {_PIXELS}, b AS (SELECT avg(v0) AS a0, avg(v1) AS a1, var_pop(v0) AS m00, covar_pop(v0, v1) AS m01, var_pop(v1) AS m11 FROM px), {eigen('e', 'b')}
+SELECT "row", col, {_r(squared='(v0 - a0) * ((v0 - a0) * p00 + (v1 - a1) * p01) + (v1 - a1) * ((v0 - a0) * p01 + (v1 - a1) * p11)')} FROM px, e""")
+def pca_image(spark, sf):
+    d = pixels(spark, sf)
+    out = composite.PCAImage(1).fit(d).transform(d)
+    return out.select("row", "col", F.round(F.col("v")[0] * F.col("v")[0] + SHIFT, 6).alias("squared"))
+
+
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), d AS (SELECT a.vec_id AS id, b.vec_id AS j, a.v AS av, b.v AS bv, CASE WHEN a.vec_id = b.vec_id THEN -1 ELSE list_distance(a.v, b.v) END AS d FROM e a, e b),
+k AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, j) - 1 AS k FROM d QUALIFY k < 4) SELECT id, k::INT AS k, j, round(CASE WHEN d > 1e-10 THEN (bv[3] - av[3]) / d ELSE 0 END + 3e-8, 6) AS u2 FROM k""")
+def neighbour_patches(spark, sf):
+    d = S.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    out = composite.neighbour_patches(d, 4)
+    return out.select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"), "neighbours", "x").select("id", "k", F.col("neighbours")[F.col("k")].alias("j"), F.round(F.col("x")[8 + F.col("k")] + SHIFT, 6).alias("u2"))
+
+
+@query(GEOMETRIC.replace(" WHERE a.key % 20 = 0", ""))
+def sentence_means(spark, sf):
+    return composite.aggregate(S.part_cov(spark, sf), 2, tol=1e-10).select("key", *coarse("mean"))
+
+
 __all__ = ["QUERIES", "SQL", "domains", "with_gaps"]

@@ -11,8 +11,9 @@ from tesserae.frames import decode, from_numpy
 from tesserae.kernels import distance as D
 from tesserae.kernels import geometry as G
 from tesserae.kernels import mean as M
-from tesserae.ml import artifacts, clustering, selection, tangent
+from tesserae.ml import artifacts, clustering, composite, selection, tangent
 from tesserae.operators import pairs, stats
+from tesserae.operators.means import maskedmean_riemann
 from tesserae.operators.order import numbered
 from tesserae.plans import closed_queries, model_queries, sql_queries
 from tesserae.shared import shared_folder
@@ -492,3 +493,70 @@ def test_cross_validation_by_brute_force(spark):
     assert best["metric"] in ("euclid", "logeuclid") and len(scores) == 2 and np.allclose(scores[1][1], want)
     pipe = selection.Pipeline(tangent.Whitening("euclid"), MDM("logeuclid")).fit(df)
     assert pipe.score(df) > 0.8 and pipe.predict(df).count() == 60
+
+
+# composites
+
+
+def test_band_selection_by_brute_force(spark):
+    rng = np.random.default_rng(4)
+    t, y = np.arange(128) / 128, np.arange(40) % 2
+    x = rng.normal(0, 0.3, (40, 2, 128))
+    for k in range(40):
+        x[k, 0] += (1 + 2 * y[k]) * np.sin(2 * np.pi * 12 * t + rng.uniform(0, 6))
+    df = spark.createDataFrame([(k, int(y[k]), x[k].ravel().tolist()) for k in range(40)], "id long, y int, x array<double>")
+    band, found = composite.band_selection(df, 2, 128, (6.0, 22.0), 4, 2)
+    want = []
+    for a in np.arange(6.0, 19.0, 2):
+        s = np.fft.rfft(x, axis=-1)
+        f = np.fft.rfftfreq(128, 1 / 128)
+        s[..., (f < a) | (f > a + 4)] = 0
+        b = np.fft.irfft(s, 128, axis=-1)
+        b = b - b.mean(-1, keepdims=True)
+        c = b @ b.transpose(0, 2, 1) / 127
+        m = [M.mean(c[y == v], "riemann")[0] for v in (0, 1)]
+        own = [D.distance(c[y == v], m[v][None], "riemann").mean() for v in (0, 1)]
+        want.append(D.distance(*m, "riemann") / (sum(own) / 2))
+    assert np.allclose(found, want, rtol=1e-4) and band[0] <= 12 <= band[1]
+    assert composite.widest_band([1, 5, 9, 8, 2], [0, 2, 4, 6, 8], [4, 6, 8, 10, 12], 0.4) == [4.0, 10.0]
+    wide = composite.filter_bank(df, 2, [8, 12], 1, 128).orderBy("id").collect()
+    assert len(wide[0].x) == 4 * 128 and np.allclose(np.asarray(wide[3].x).reshape(2, 2, 128)[1], composite_band(x[3], 11, 13))
+
+
+def composite_band(x, a, b):
+    s = np.fft.rfft(x, axis=-1)
+    f = np.fft.rfftfreq(128, 1 / 128)
+    s[..., (f < a) | (f > b)] = 0
+    return np.fft.irfft(s, 128, axis=-1)
+
+
+def test_composites_check_their_input(spark):
+    for bad in (dict(block_size=[2, 3]), dict(block_size=2, metric=["rbf"]), dict(block_size=2, metric="nothing"), dict(block_size=2.0)):
+        with pytest.raises(ValueError):
+            composite.HybridBlocks(8, **bad).fit()
+    assert composite.HybridBlocks(8, 3).fit().blocks_ == [3, 3, 2]
+    with pytest.raises(ValueError):
+        composite.image_windows(closed_queries.pixels(spark, SF), 4)
+
+
+def test_complex_pixels(spark):
+    rng = np.random.default_rng(8)
+    z = rng.normal(size=(60, 3)) + 1j * rng.normal(size=(60, 3)) @ np.diag([3, 1, 0.2])
+    df = spark.createDataFrame([(k, (v.real.tolist(), v.imag.tolist())) for k, v in enumerate(z)], "row long, v struct<re:array<double>,im:array<double>>")
+    m = composite.PCAImage(2).fit(df)
+    c = z - z.mean(0)
+    w = np.linalg.eigvalsh(c.conj().T @ c / 60)[::-1]
+    assert np.allclose(m.explained_variance_, w[:2])
+    out = decode(m.transform(df).orderBy("row").toArrow()["v"], (-1,))
+    assert np.allclose((np.abs(out) ** 2).mean(0), w[:2])
+
+
+def test_general_masks(spark):
+    rng = np.random.default_rng(2)
+    x = np.stack([root(a + a.T, np.exp) for a in rng.normal(0, 0.3, (12, 4, 4))])
+    masks = [np.linalg.qr(rng.normal(size=(4, m)))[0] for m in (2, 3, 3, 2)] * 3
+    df = spark.createDataFrame([(k, x[k].ravel().tolist(), q.ravel().tolist()) for k, q in enumerate(masks)], "id long, cov array<double>, q array<double>")
+    got = maskedmean_riemann(df.repartition(3), mask="q", tol=1e-9, maxiter=100).matrix
+    assert np.allclose(got, M.maskedmean_riemann(x, masks, tol=1e-9)[0], atol=1e-6)
+    with pytest.raises(ValueError):
+        maskedmean_riemann(df, keep="q", mask="q")
