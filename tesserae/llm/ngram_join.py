@@ -49,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.pack import packed_runs, unpacked
+from tesserae.llm.pack import by_shard, packed_runs, unpacked
 from tesserae.llm.shared import checkpoint, tidy, tidy_group
 from tesserae.llm.text import NOT_WORD, chunks, flat, fresh, gram_hashes, mix, pieces, rows_of, shards, word_hashes, words
 
@@ -452,7 +452,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = N, t: float = T, expand: bool =
 
         yield from pieces(batches, make)
 
-    edges = docs.mapInArrow(tidy(sketch), "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary, p5 binary").groupBy("shard").applyInArrow(tidy_group(lambda table: _edges(table, least_agree)), "doc_id long, leader long")
+    sent = docs.mapInArrow(tidy(sketch), "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary, p5 binary")
+    edges = by_shard(sent, parts).groupBy("shard").applyInArrow(tidy_group(lambda table: _edges(table, least_agree)), "doc_id long, leader long")
     edges = checkpoint(edges.distinct())
 
     def parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 U = np.uint64
+PARTITIONS = 50_000
 
 
 def packed(key: np.ndarray, payload: list[np.ndarray], n: int) -> pa.RecordBatch:
@@ -56,3 +59,11 @@ def unpacked(col: pa.ChunkedArray, dtype) -> np.ndarray:
 def lists(flat: np.ndarray, cut: np.ndarray, kind: pa.DataType) -> pa.Array:
     """A list column: row i has flat[cut[i]:cut[i + 1]]."""
     return pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(flat, kind))
+
+
+def by_shard(df: DataFrame, shards: int) -> DataFrame:
+    """Rows of packed() for groupBy("shard"): every shard in a partition of its own, where hashing their numbers would put several into some and none into others.
+
+    More shards than PARTITIONS are left to hashing, by which many come into each partition.
+    """
+    return df.repartitionById(shards, F.col("shard")) if shards <= PARTITIONS else df

@@ -245,7 +245,7 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD
     text = F.col("text").cast("string")
     lengths = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(text.isNull(), 1).otherwise(n_words(text) + 1).alias("length"), F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), text)).alias("hash"))
     shards = max(1, round(docs.count() / shard))
-    lengths = lengths.select("doc_id", "length", F.pmod("hash", F.lit(shards)).alias("shard"))
+    lengths = lengths.select("doc_id", "length", F.pmod("hash", F.lit(shards)).cast("int").alias("shard"))
 
     def packed(table: pa.Table) -> pa.Table:
         s, null = table["shard"][0].as_py(), np.asarray(table["doc_id"].combine_chunks().is_null())
@@ -273,5 +273,6 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD
             }
         )
 
-    tasks = min(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # small rows, much work: not to be coalesced
-    return lengths.repartition(tasks, "shard").groupBy("shard").applyInArrow(packed, SCHEMA)
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, much work: not to be coalesced
+    spread = lengths.repartitionById(shards, F.col("shard")) if shards <= tasks else lengths.repartition(tasks, "shard")
+    return spread.groupBy("shard").applyInArrow(packed, SCHEMA)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.pack import lists, narrow, packed, unpacked, widened
+from tesserae.llm.pack import by_shard, lists, narrow, packed, unpacked, widened
 from tesserae.llm.shared import tidy, tidy_group
 from tesserae.llm.text import chunks, flat, fresh, gram_hashes, mix, pieces, quoted, rows_of, shards, word_hashes, words
 
@@ -155,7 +155,8 @@ def _repeated_starts(docs: DataFrame, w: int, k: int) -> DataFrame:
 
         yield from pieces(batches, make)
 
-    kept = _together(docs.mapInArrow(tidy(anchored), "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary").groupBy("shard").applyInArrow(tidy_group(_flagged), AT))
+    packs = "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary"
+    kept = _together(by_shard(docs.mapInArrow(tidy(anchored), packs), parts).groupBy("shard").applyInArrow(tidy_group(_flagged), AT))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def make(batch):
@@ -181,7 +182,7 @@ def _repeated_starts(docs: DataFrame, w: int, k: int) -> DataFrame:
         yield from pieces(batches, make)
 
     candidates = docs.join(kept, ["doc_id", "th"]).select("doc_id", "text", "th", "at")
-    return _together(candidates.mapInArrow(tidy(windows), "shard int, p0 binary, p1 binary, p2 binary, p3 binary, p4 binary").groupBy("shard").applyInArrow(tidy_group(_repeated), AT))
+    return _together(by_shard(candidates.mapInArrow(tidy(windows), packs), parts).groupBy("shard").applyInArrow(tidy_group(_repeated), AT))
 
 
 def _merged(at: np.ndarray, row: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
