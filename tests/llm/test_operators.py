@@ -271,6 +271,24 @@ def test_bpe_awkward(spark, awkward):
         bpe.bpe_encode(awkward, "/nowhere")
 
 
+def test_bounds_of_the_encoders_change_nothing(spark, docs, monkeypatch):
+    """Pretokens beyond LONG go one by one, and the memory of counts is dropped beyond KEPT: both ways give the same."""
+    with open(bpe.RANKS, "rb") as f:
+        v = bpe.Vocabulary(f.read())
+    b, o = flat(docs.select("text").toArrow()["text"])
+    want, off = bpe.encode_rows(v, b, o)
+    starts, po = bpe.pretokens(b, o)
+    s, e, h, code = bpe.distinct(b, starts)
+    monkeypatch.setattr(bpe, "LONG", 3)
+    got, again = bpe.encode_rows(v, b, o)
+    assert np.array_equal(got, want) and np.array_equal(off, again)
+    monkeypatch.setattr(bpe, "KEPT", 5)
+    monkeypatch.setitem(bpe._state, "counts", None)
+    for _ in range(2):
+        total = np.r_[0, np.cumsum(bpe._counted(v, b, s, e, h)[code], dtype=np.int64)]
+        assert np.array_equal(np.diff(total[po]), np.diff(off))
+
+
 def test_random_pretokens(reference_encoding):
     with open(bpe.RANKS, "rb") as f:
         v = bpe.vocabulary(f.read())
