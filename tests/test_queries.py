@@ -11,8 +11,8 @@ from tesserae.frames import decode, from_numpy
 from tesserae.kernels import distance as D
 from tesserae.kernels import geometry as G
 from tesserae.kernels import mean as M
-from tesserae.ml import artifacts, clustering, composite, selection, tangent
-from tesserae.operators import pairs, stats
+from tesserae.ml import artifacts, classification, clustering, composite, selection, tangent
+from tesserae.operators import means, pairs, stats
 from tesserae.operators.means import maskedmean_riemann
 from tesserae.operators.order import numbered
 from tesserae.plans import closed_queries, model_queries, sql_queries
@@ -551,6 +551,27 @@ def test_complex_pixels(spark):
     assert np.allclose((np.abs(out) ** 2).mean(0), w[:2])
 
 
+def test_many_groups_and_few_give_the_same(spark, monkeypatch):
+    d = S.part_labels(spark, SF)
+    for metric in ("riemann", "logeuclid", "kullback_sym"):
+        want = {r.key: r["mean"] for r in means.mean_frame(d, metric, by="y").collect()}
+        monkeypatch.setattr(means, "GROUPS", 2)
+        monkeypatch.setattr(means, "HELD", 3)
+        got = {r.key: r["mean"] for r in means.mean_frame(d, metric, by="y").collect()}
+        monkeypatch.undo()
+        assert set(got) == set(want) and all(np.allclose(got[k], want[k], rtol=1e-6, atol=1e-6) for k in want)
+
+
+def test_dense_problems_check_their_size(spark, monkeypatch):
+    d = S.supplier_cov(spark, SF)
+    monkeypatch.setattr(classification.NearestConvexHull, "LIMIT", 3)
+    monkeypatch.setattr(classification._KernelMachine, "LIMIT", 3)
+    monkeypatch.setattr(stats, "LIMIT", 3)
+    for f in (lambda: classification.NearestConvexHull().fit(d, "domain"), lambda: classification.SVC("euclid").fit(d, "domain"), lambda: classification.SVR("euclid").fit(d, "target"), lambda: stats.PermutationDistance(3).test(d, "domain"), lambda: stats.PermutationModel(3).test(d, "domain")):
+        with pytest.raises(ValueError):
+            f()
+
+
 def test_general_masks(spark):
     rng = np.random.default_rng(2)
     x = np.stack([root(a + a.T, np.exp) for a in rng.normal(0, 0.3, (12, 4, 4))])
