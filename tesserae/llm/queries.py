@@ -7,10 +7,11 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm import bpe, exact, html, langid, ngram_join, packing, quality, simple8b, substring
+from tesserae.llm.text import spread
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
 
 
 def op1_ngram_jaccard(spark, sf_dir):
@@ -42,7 +43,7 @@ def op7_packing(spark, sf_dir):
 
 
 def op8_html(spark, sf_dir):
-    return html.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return html.main_text(spread(spark.read.parquet(f"{sf_dir}/pages.parquet"), "page_id"))
 
 
 def op9_token_counts(spark, sf_dir):

@@ -154,6 +154,17 @@ def cut(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
         yield from cut(batch.slice(half), most)
 
 
+def spread(table, key: str):
+    """A table that is read in fewer parts than the cluster has cores (a small one, or one of few row groups), hashed over all of them by the key; others as they are.
+
+    For tables only: asking a plan with shuffles how many parts it has would run it.
+    """
+    from pyspark.sql import functions as F
+
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores, F.xxhash64(key))
+
+
 def quoted(name: str):
     """The column of this very name, dots and all."""
     from pyspark.sql import functions as F
