@@ -1,7 +1,13 @@
 """A training corpus from raw documents: five stages, each over all that its predecessor kept.
 
-The operators, and what they do with nulls, ties and the like, are described in
-tesserae.llm.  Stages but the last return the columns of documents.
+Stages but the last return the columns of documents, whatever other columns there are.  Defined results, by stage (the modules in tesserae.llm say more):
+
+* language ID rejects null texts, texts without letters, and those in no known language; null identifiers don't matter
+* exact dedup keeps the row with the smallest doc_id of equal texts, one of repeated rows; a null doc_id is larger than all others
+* the near-duplicate join keeps the smallest doc_id of a group; rows with null doc_id, and texts without words, are in none
+* substring dedup leaves rows with null doc_id and texts of fewer than 50 words as they are
+* packing gives each document, however long, all its pieces, a null doc_id included
+* an empty table goes through all stages and gives no sequences
 """
 
 from __future__ import annotations
@@ -13,6 +19,7 @@ from tesserae.llm.langid import keep_identified
 from tesserae.llm.ngram_join import drop_near_copies
 from tesserae.llm.packing import pack_documents
 from tesserae.llm.substring import cut_repeats
+from tesserae.llm.text import spread
 
 #: Naive Bayes and a near-duplicate closure have no counterpart in SQL; the tests compare with brute force.
 ORACLE_SQL = None
@@ -48,7 +55,7 @@ STAGES = [("language id", language), ("exact dedup", exact_copies), ("n-gram jac
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the rows of the last one."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs
