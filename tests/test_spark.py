@@ -289,7 +289,7 @@ def test_streams_equal_batches(spark, tmp_path):
     from tesserae.streaming import drain, read_events, windowed_covariance
 
     def cov(df):
-        return windowed_covariance(df, "ts", ["value"], ["event_type"], "1 day", "12 hours")
+        return windowed_covariance(df, "ts", ["value"], ["event_type"], "1 day", "12 hours", "1 day")
 
     stream = drain(cov(read_events(spark, SF)), "w_test", "complete", str(tmp_path / "cp"))
     batch = cov(tables.table(spark, SF, "events").withColumn("ts", F.col("ts").cast("timestamp")))
