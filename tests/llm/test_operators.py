@@ -6,6 +6,7 @@ import math
 import random
 import re
 import time
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -184,6 +185,67 @@ def test_near_groups_and_drop(spark, awkward):
     assert sorted(-1 if r.doc_id is None else r.doc_id for r in left.collect()) == [-1, -1, 1, 2, 3, 4, 4, 6, 8, 9]
 
 
+def test_near_links_have_a_row_for_each_document(spark, awkward):
+    """Copies, near copies and repeated doc_ids; classes and numbers of links by brute force over rows."""
+    text = [f"a b c d e f g h i j {'k l' if k % 2 else 'm n'} z{k % 3}" for k in range(6)]
+    rows = [(i, text[i % 6] if i % 5 else text[0].upper()) for i in range(200)] + [(7, text[1]), (7, "else"), (500, "else"), (None, text[0]), (501, None)]
+    rows += [(r.doc_id, r.text) for r in awkward.collect()]
+    got = ngram_join.near_links(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    pairs = brute_pairs([((k, i), x) for k, (i, x) in enumerate(rows) if i is not None])
+    links, least = [0] * len(rows), {i: i for i, _ in rows}
+    for (a, _), (b, _) in pairs:
+        links[a] += 1
+        links[b] += 1
+    for _ in range(10):
+        for (_, a), (_, b) in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    assert sorted(map(str, map(tuple, got))) == sorted(str((i, least[i], n)) for (i, _), n in zip(rows, links))
+
+
+def test_hot_blocks_keep_no_list_of_pairs():
+    n = 4000
+    lo = np.random.default_rng(1).integers(0, 2**63, n).astype(np.uint64)
+    at = np.arange(n)
+    tracemalloc.start()
+    got = ngram_join._edges_of(np.zeros(n, np.uint64), at, at, at, lo, np.zeros(n, np.uint64), 10)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == [[i, 0] for i in range(n)] and most < 16 << 20
+
+
+def test_hot_groups_are_verified_in_strips():
+    rng = np.random.default_rng(2)
+    base = np.arange(60)
+    sets = [np.unique(np.r_[rng.choice(base, 55, replace=False), rng.integers(100, 400, 4)]).astype(np.uint64) for _ in range(1200)]
+    m = len(sets)
+    has = np.zeros((m, 400))
+    for k, x in enumerate(sets):
+        has[k, x.astype(int)] = 1
+    both = has @ has.T
+    like = both / (has.sum(1)[:, None] + has.sum(1) - both) >= 0.7 - 1e-12
+    np.fill_diagonal(like, False)
+    nodes, weight, tile = np.arange(m), rng.integers(1, 4, m), rng.integers(0, 2, m)
+    low = rng.integers(0, 3, m)  # of -1 and -2, leaders below 0, some texts have one
+    apart = (low[:, None] == low) & (low > 0)
+    leaders = [np.array([0, -x] if x else [0]) for x in low]
+    seen, links, most = np.zeros((m, m), bool), np.zeros(m, int), 0
+    for ti, tj in ((0, 0), (0, 1), (1, 1)):
+        of = np.flatnonzero((tile == ti) | (tile == tj))
+        for pairs in (True, False):
+            tracemalloc.start()
+            for node, peer, jaccard, n in ngram_join._verify_group(nodes[of], [sets[i] for i in of], weight[of], [leaders[i] for i in of], tile[of], 0, ti, tj, 0.7, pairs):
+                if pairs:
+                    assert not seen[node, peer].any()
+                    seen[node, peer] = seen[peer, node] = True
+                elif peer[0] == ngram_join.NONE:
+                    links[node] += n
+                else:
+                    assert like[node, peer].all() and len(node) < len(of)
+            most = max(most, tracemalloc.get_traced_memory()[1])
+            tracemalloc.stop()
+    assert like.mean() > 0.05 and np.array_equal(seen, like & ~apart) and np.array_equal(links, (like & ~apart) @ weight) and most < 64 << 20
+
+
 # 2
 
 
