@@ -1,15 +1,14 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training counts the n-grams of 1 to 3 characters of labelled texts per language
-in BUCKETS buckets, as one distributed aggregation over a sample of about
-TRAIN_ROWS labelled rows (documented bound; rows are taken by hash of doc_id and
-text, so the sample is the same in every run), which is cut by a checkpoint.  The log-probability matrix,
+in BUCKETS buckets, as one distributed aggregation over all labelled rows; the counts of a
+task travel in SLICES slices, so that no task of their sums holds more than one slice of a language.  The log-probability matrix,
 languages x BUCKETS of float32, is broadcast; more than LANGS labels are an error, so it has 32 MB at most at any scale.  Scoring adds
 up the columns of a batch's n-grams with numpy.
 
 A text is accepted if the posterior of its best language is at least POSTERIOR
 and the mean log-likelihood ratio of its n-grams to a uniform distribution reaches
-the cut of that language: KEPT of the ratio that all but the lowest LOW of its training texts have.  Encoded
+the cut of that language: KEPT of the ratio that all but the lowest LOW of its labelled texts have, by a histogram of all of them in steps of 1 / STEPS.  Encoded
 data, code and texts in languages far from all known ones are below it; relatives of a known language may not be.
 A language of few training texts has a less certain cut.
 
@@ -22,6 +21,7 @@ get underscores behind if there are such columns.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,14 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.shared import checkpoint, release, tidy, tidy_group
+from tesserae.llm.shared import release, tidy, tidy_group
 from tesserae.llm.text import chunks, flat, fresh, mix, quoted
 
 BUCKETS = 1 << 15
-TRAIN_ROWS = 20_000
+SLICES = 16
 LANGS = 256
 POSTERIOR = 0.5
 LOW, KEPT = 0.001, 0.7  # share of a language's training texts below its quantile, and the cut as a share of that
+STEPS = 4096
 U = np.uint64
 _keep: dict = {}
 
@@ -85,18 +86,17 @@ def grams(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out), np.concatenate(rows)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int32))
 
 
-def _sample(docs: DataFrame, label: str, rows: int) -> DataFrame:
-    """About this many labelled texts, the same in every run."""
-    data = docs.select(quoted(label).cast("string").alias("lang"), F.col("text").cast("string").alias("text"), F.col("doc_id").alias("doc_id")).where("lang is not null and text is not null")
-    n = data.count()
-    if n > rows:
-        data = data.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
-    return checkpoint(data.select("lang", "text"))
+def _labelled(docs: DataFrame, label: str) -> DataFrame:
+    """The texts that have a label, as lang and text."""
+    data = docs.select(quoted(label).cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where("lang is not null and text is not null")
+    if data.select("lang").distinct().limit(LANGS + 1).count() > LANGS:
+        raise ValueError(f"more than {LANGS} languages in the labelled rows")
+    return data
 
 
-def train(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
+def train(docs: DataFrame, label: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages, and their log probabilities (languages x BUCKETS) with priors in column BUCKETS."""
-    return _train(_sample(docs, label, rows))
+    return _train(_labelled(docs, label))
 
 
 def _train(data: DataFrame) -> tuple[list[str], np.ndarray]:
@@ -111,15 +111,17 @@ def _train(data: DataFrame) -> tuple[list[str], np.ndarray]:
                     of = names == name
                     total[name] = total.get(name, np.zeros(BUCKETS, np.int64)) + np.bincount(g[of[row]], minlength=BUCKETS)
                     texts[name] = texts.get(name, 0) + int(of.sum())
-        if total:
-            yield pa.RecordBatch.from_pydict({"lang": list(total), "n": [texts[k] for k in total], "counts": [v.astype("<i8").tobytes() for v in total.values()]})
+        for name, counts in total.items():
+            parts = np.split(counts.astype("<i8"), SLICES)
+            yield pa.RecordBatch.from_pydict({"lang": [name] * SLICES, "slice": pa.array(range(SLICES), pa.int32()), "n": [texts[name]] * SLICES, "counts": [p.tobytes() for p in parts]})
 
     sums: dict[str, np.ndarray] = {}
     priors: dict[str, int] = {}
-    for r in data.mapInArrow(tidy(count), "lang string, n long, counts binary").groupBy("lang").applyInArrow(tidy_group(_add), "lang string, n long, counts binary").limit(LANGS + 1).collect():
-        sums[r.lang], priors[r.lang] = np.frombuffer(r.counts, "<i8"), r.n
-    if len(sums) > LANGS:
-        raise ValueError(f"more than {LANGS} languages in the training rows")
+    kind = "lang string, slice int, n long, counts binary"
+    for r in data.mapInArrow(tidy(count), kind).groupBy("lang", "slice").applyInArrow(tidy_group(_add), kind).collect():
+        of = sums.setdefault(r.lang, np.zeros((SLICES, BUCKETS // SLICES), np.int64))
+        of[r.slice], priors[r.lang] = np.frombuffer(r.counts, "<i8"), r.n
+    sums = {k: v.ravel() for k, v in sums.items()}
     langs = sorted(sums)
     matrix = np.zeros((len(langs), BUCKETS + 1), np.float32)
     for i, lang in enumerate(langs):
@@ -130,8 +132,10 @@ def _train(data: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def _add(table: pa.Table) -> pa.Table:
-    total = sum(np.frombuffer(x, "<i8") for x in table["counts"].to_pylist())
-    return pa.table({"lang": [table["lang"][0].as_py()], "n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "counts": [total.tobytes()]})
+    total = np.zeros(BUCKETS // SLICES, np.int64)
+    for x in table["counts"]:
+        total += np.frombuffer(x.as_buffer(), "<i8")
+    return pa.table({"lang": [table["lang"][0].as_py()], "slice": table["slice"].slice(0, 1), "n": pa.array([sum(table["n"].to_pylist())], pa.int64()), "counts": [total.tobytes()]})
 
 
 def score(matrix: np.ndarray, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -152,23 +156,35 @@ def score(matrix: np.ndarray, col: pa.Array) -> tuple[np.ndarray, np.ndarray, np
 
 
 def cuts(data: DataFrame, langs: list[str], model) -> np.ndarray:
-    """The least mean log likelihood ratio that is accepted as each language, from the sample (lang, text) of the broadcast model."""
+    """The least mean log likelihood ratio that is accepted as each language, from all labelled texts (lang, text) of which the broadcast model says what their label says.
 
-    def ratios(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Ratios are rounded down to steps; tasks count the texts of each, so what is shuffled is bounded by the number of steps.
+    """
+
+    def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
         for batch in batches:
             for a, b in chunks(batch.column(1), 512 << 10):
                 best, _, ratio = score(model.value, batch.column(1).slice(a, b - a))
                 label = batch.column(0).slice(a, b - a).to_pylist()
-                own = [k for k, i in enumerate(best) if i >= 0 and langs[i] == label[k]]
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([label[k] for k in own], pa.string()), "ratio": pa.array(ratio[own], pa.float64())})
+                seen.update((x, k) for x, i, k in zip(label, best.tolist(), np.floor(ratio * STEPS).astype(np.int64).tolist()) if i >= 0 and langs[i] == x)
+        yield pa.RecordBatch.from_pydict({"lang": pa.array([x for x, _ in seen], pa.string()), "step": pa.array([k for _, k in seen], pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
+
+    def low(table: pa.Table) -> pa.Table:
+        step, n = table["step"].to_numpy(), table["n"].to_numpy()
+        order = np.argsort(step)
+        upto = np.cumsum(n[order])
+        at = np.searchsorted(upto, int(LOW * (upto[-1] - 1)), "right")
+        return pa.table({"lang": table["lang"].slice(0, 1), "low": [float(step[order][at]) / STEPS]})
 
-    low = {r.lang: r.low for r in data.mapInArrow(tidy(ratios), "lang string, ratio double").groupBy("lang").agg(F.percentile("ratio", F.lit(LOW)).alias("low")).collect()}
-    return np.array([max(0.0, KEPT * low.get(x, 0.0)) for x in langs])
+    counts = data.mapInArrow(tidy(steps), "lang string, step long, n long").groupBy("lang", "step").agg(F.sum("n").alias("n"))
+    least = {r.lang: r.low for r in counts.groupBy("lang").applyInArrow(tidy_group(low), "lang string, low double").collect()}
+    return np.array([max(0.0, KEPT * least.get(x, 0.0)) for x in langs])
 
 
-def identify(docs: DataFrame, label: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
+def identify(docs: DataFrame, label: str = "lang") -> DataFrame:
     """The columns of docs with lang_pred, confidence and accepted appended (under names with underscores behind if docs has such columns)."""
-    data = _sample(docs, label, rows)
+    data = _labelled(docs, label)
     langs, matrix = _train(data)
     model = docs.sparkSession.sparkContext.broadcast(matrix)
     cut = np.r_[cuts(data, langs, model), 0.0]  # the last for no language

@@ -468,6 +468,26 @@ def test_language_scores_equal_brute_force(spark):
         assert abs(ratio[0] - (sum(logs[langs[top]][k] for k in buckets(text)) / len(buckets(text)) + math.log(langid.BUCKETS))) < 1e-4
 
 
+def test_language_counts_every_labelled_row(spark):
+    """Forty thousand rows, of which ten are the only ones of their language."""
+    d = spark.range(40_000).selectExpr("id as doc_id", "'en' as lang", "concat('the tea is here ', id) as text")
+    rare = spark.createDataFrame([(-k, f"x{k}", f"{chr(1072 + k) * 4} {chr(1073 + k) * 3}") for k in range(10)], "doc_id long, lang string, text string")
+    langs, m = langid.train(d.unionByName(rare))
+    assert langs == sorted(["en", *(f"x{k}" for k in range(10))])
+    assert np.allclose(np.exp(m[:, langid.BUCKETS]), [40_000 / 40_010, *[1 / 40_010] * 10], rtol=1e-4)
+
+
+def test_language_cuts_follow_all_rows(spark):
+    """The quantile is that of every labelled row, to within a step of the ratios."""
+    words = "the tea is here and there was some more of it for all of us".split()
+    d = spark.createDataFrame([(i, "en", " ".join(words[i % 7 : i % 7 + 3 + i % 5]) + ("" if i % 900 else " zq xj")) for i in range(3000)], "doc_id long, lang string, text string")
+    langs, m = langid.train(d)
+    _, _, ratio = langid.score(m, d.select("text").toArrow()["text"].combine_chunks())
+    low = np.sort(ratio)[int(langid.LOW * (len(ratio) - 1))]
+    cut = langid.cuts(d.select("lang", "text"), langs, spark.sparkContext.broadcast(m))
+    assert abs(cut[0] / langid.KEPT - low) <= 1 / langid.STEPS + 1e-6
+
+
 def test_language_bounds_its_labels(spark, docs, monkeypatch):
     monkeypatch.setattr(langid, "LANGS", 3)
     with pytest.raises(ValueError):
