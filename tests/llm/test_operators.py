@@ -202,6 +202,14 @@ def test_near_links_have_a_row_for_each_document(spark, awkward):
     assert sorted(map(str, map(tuple, got))) == sorted(str((i, least[i], n)) for (i, _), n in zip(rows, links))
 
 
+def test_near_groups_come_from_few_pairs(spark):
+    """300 different texts, all alike: 44,850 pairs, of which a forest is enough."""
+    rows = [(i, " ".join(f"w{k}" for k in range(40)) + f" z{i}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert 299 <= ngram_join.ngram_jaccard_join(docs, expand=False).count() <= 600
+    assert [r.doc_id for r in ngram_join.drop_near_copies(docs).collect()] == [0]
+
+
 def test_hot_blocks_keep_no_list_of_pairs():
     n = 4000
     lo = np.random.default_rng(1).integers(0, 2**63, n).astype(np.uint64)
