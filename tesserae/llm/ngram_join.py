@@ -56,6 +56,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -65,6 +66,9 @@ from tesserae.llm.text import NOT_WORD, chunks, flat, fresh, gram_hashes, mix, p
 
 N, T = 2, 0.7
 CELLS = 1 << 20  # of the frequency sketch
+SLICES = 32  # in which it is added up
+FAN = 64  # tasks whose counts are added at a time
+COUNTS = "slice int, task int, rows long, counts binary"
 LEVELS = (30, 24, 20, 16, 14, 12, 11, 10, 9, 8, 7, 6, 5, 4, 3, 2, 1, 0)  # bits
 TILE = 2048
 GRAMS = 1 << 20  # n-grams of a tile
@@ -143,7 +147,8 @@ def information(docs: DataFrame, n: int) -> np.ndarray:
     """Bits of information of an n-gram, log2(documents / documents that hold it), by cell of a one-row count sketch over all documents.
 
     Cells that n-grams share overestimate frequencies, which lowers strengths and
-    nothing else.  The sketch has a fixed size: tasks send their counts in slices, and one byte a cell comes back.
+    nothing else.  The sketch has a fixed size: tasks send their counts in slices, which are added FAN tasks
+    at a time, so that no group grows with the number of tasks, and one byte a cell comes back.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,19 +159,33 @@ def information(docs: DataFrame, n: int) -> np.ndarray:
             for a, b in chunks(batch.column(0)):
                 total += np.bincount(_cells(gram_sets(batch.column(0).slice(a, b - a), n)[0]), minlength=CELLS)
         if rows:
-            parts = np.split(total.astype("<u4"), 16)
-            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(16), pa.int32()), "rows": [rows] * 16, "counts": [p.tobytes() for p in parts]})
+            parts = np.split(total.astype("<u4"), SLICES)
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_pydict({"slice": pa.array(range(SLICES), pa.int32()), "task": pa.array([task] * SLICES, pa.int32()), "rows": [rows] * SLICES, "counts": [p.tobytes() for p in parts]})
 
     def add(table: pa.Table) -> pa.Table:
-        rows = sum(table["rows"].to_pylist())
-        total = np.sum([np.frombuffer(x, "<u4").astype(np.int64) for x in table["counts"].to_pylist()], 0)
+        rows, total = _added(table)
+        return pa.table({"slice": table["slice"].slice(0, 1), "task": pa.array([table["task"][0].as_py() // FAN], pa.int32()), "rows": [rows], "counts": [total.astype("<u4").tobytes()]})
+
+    def finish(table: pa.Table) -> pa.Table:
+        rows, total = _added(table)
         bits = np.clip(np.round(np.log2(np.maximum(rows, 1) / np.maximum(total, 1))), 0, 40).astype(np.uint8)
         return pa.table({"slice": table["slice"].slice(0, 1), "bits": [bits.tobytes()]})
 
-    got = docs.select("text").mapInArrow(tidy(count), "slice int, rows long, counts binary").groupBy("slice").applyInArrow(add, "slice int, bits binary").collect()
+    counts = docs.select("text").mapInArrow(tidy(count), COUNTS).groupBy("slice", F.expr(f"task div {FAN}")).applyInArrow(tidy_group(add), COUNTS)
+    got = counts.groupBy("slice").applyInArrow(tidy_group(finish), "slice int, bits binary").collect()
     return np.frombuffer(b"".join(r.bits for r in sorted(got, key=lambda r: r.slice)), np.uint8) if got else np.zeros(CELLS, np.uint8)
 
 
+def _added(table: pa.Table) -> tuple[int, np.ndarray]:
+    """The sums of the rows and of the counts, one row at a time: a group's counts lie in memory once."""
+    rows, total = 0, np.zeros(CELLS // SLICES, np.int64)
+    for n, x in zip(table["rows"], table["counts"]):
+        rows += n.as_py()
+        total += np.frombuffer(x.as_buffer(), "<u4")
+    return rows, total
+
+
 def block_keys(grams: np.ndarray, off: np.ndarray, t: float, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Join keys of the blocks that the rows send, and the row of each.
 

@@ -210,6 +210,30 @@ def test_near_groups_come_from_few_pairs(spark):
     assert [r.doc_id for r in ngram_join.drop_near_copies(docs).collect()] == [0]
 
 
+def test_counts_are_added_without_copies():
+    """600 tasks: in one group of them to_pylist() and a list of wider arrays took five times their counts."""
+    cells = ngram_join.CELLS // ngram_join.SLICES
+    rng = np.random.default_rng(3)
+    each = [rng.integers(0, 1 << 31, cells).astype("<u4") for _ in range(60)]
+    table = pa.table({"rows": list(range(60)) * 10, "counts": pa.array([x.tobytes() for x in each] * 10, pa.binary())})
+    tracemalloc.start()
+    rows, total = ngram_join._added(table)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == sum(range(60)) * 10 and (total == np.sum(each, 0, dtype=np.int64) * 10).all() and most < 2 << 20 < table.nbytes // 30
+
+
+@pytest.mark.parametrize("fan", (2, ngram_join.FAN))
+def test_information_by_groups_of_tasks(spark, docs, monkeypatch, fan):
+    """Over more parts than are added at a time, and empty ones, the counts are those of all documents."""
+    monkeypatch.setattr(ngram_join, "FAN", fan)
+    texts = [r.text for r in docs.select("text").limit(60).collect()]
+    df = spark.createDataFrame([(x,) for x in texts], "text string").repartition(90)
+    count = np.bincount(ngram_join._cells(ngram_join.gram_sets(pa.array(texts, pa.string()), 2)[0]), minlength=ngram_join.CELLS)
+    want = np.clip(np.round(np.log2(len(texts) / np.maximum(count, 1))), 0, 40)
+    assert (ngram_join.information(df, 2) == want).all()
+
+
 def test_hot_blocks_keep_no_list_of_pairs():
     n = 4000
     lo = np.random.default_rng(1).integers(0, 2**63, n).astype(np.uint64)
