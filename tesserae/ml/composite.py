@@ -14,7 +14,7 @@ from tesserae.kernels import covariance as C
 from tesserae.ml.base import Estimator
 from tesserae.ml.classification import class_distinctiveness
 from tesserae.operators.means import mean_frame
-from tesserae.operators.pairs import _blocked, _sets
+from tesserae.operators.pairs import _best, _blocked, _sets
 
 CHANNEL_KERNELS = ("linear", "poly", "polynomial", "rbf", "laplacian", "cosine")
 
@@ -167,22 +167,22 @@ class PCAImage(Estimator):
 def neighbour_patches(df: DataFrame, k: int = 6, id_: str = "id", col: str = "v") -> DataFrame:
     """(id, x) for every vector: x has a channel for each dimension and a sample for each of the k nearest vectors, the vector itself included: the unit direction to it (zero to itself).
 
-    Blocks of vectors meet blocks, and each keeps its own k nearest; ties go to the smaller id.
+    Products of vectors bound the distances; those that may count are computed from the differences, so that copies are at the same distance; ties go to the smaller id.
     """
 
-    def f(li, lm, ri, rm):
-        d2 = np.maximum((lm**2).sum(1)[:, None] + (rm**2).sum(1)[None] - 2 * lm @ rm.T, 0)
-        d2[li[:, None] == ri[None]] = -1  # itself first
-        order = np.lexsort((np.broadcast_to(ri, d2.shape), d2), axis=1)[:, :k]
-        at = np.repeat(np.arange(len(li)), order.shape[1])
-        v = rm[order.ravel()] - lm[at]
+    def f(li, lm, ri, rm, block):
+        def exact(i, j):
+            return np.where(li[i] == ri[j], -1, np.linalg.norm(lm[i] - rm[j], axis=1))  # itself first
+
+        i, j, d = _best(li, lm, ri, rm, k, block, exact)
+        v = rm[j] - lm[i]
         size = np.linalg.norm(v, axis=1, keepdims=True)
         v = np.where(size > 1e-10, v / np.maximum(size, 1e-300), 0)
         cut = pa.array(np.arange(len(v) + 1, dtype=np.int32) * v.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(li[at]), pa.array(ri[order.ravel()]), pa.array(d2[at, order.ravel()]), pa.ListArray.from_arrays(cut, pa.array(v.ravel()))], names=["i", "j", "d", "u"])
+        yield pa.RecordBatch.from_arrays([pa.array(li[i]), pa.array(ri[j]), pa.array(d), pa.ListArray.from_arrays(cut, pa.array(v.ravel()))], names=["i", "j", "d", "u"])
 
     a = _sets(df, id_, col)
-    best = _blocked(a, a, f, "i long, j long, d double, u array<double>", shape=(-1,))
+    best = _blocked(a, a, f, "i long, j long, d double, u array<double>", shape=(-1,), whole=True)
     best = best.withColumn("rank", F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))).where(F.col("rank") <= k)
     g = best.groupBy(F.col("i").alias(id_)).agg(F.sort_array(F.collect_list(F.struct("rank", "j", "u"))).alias("p"))
     n = F.size(F.col("p")[0]["u"])
