@@ -104,9 +104,13 @@ class KmeansPerClassTransform(Estimator):
         self.params = {"n_clusters": n_clusters, **params}
 
     def fit(self, df, y="y", weight=None, col="cov", id_="id"):
-        labels = [r[0] for r in df.where(F.col(y).isNotNull()).select(y).distinct().orderBy(y).collect()]
-        self.metric_ = metric_of(self.params.get("metric", "riemann"), "distance")
-        self.covmeans_ = np.concatenate([Kmeans(**self.params).fit(df.where(F.col(y) == v), weight, col, id_).cluster_centers_ for v in labels])
+        df = df.where(F.col(y).isNotNull()).persist()  # what makes the matrices runs once, not once a class
+        try:
+            labels = [r[0] for r in df.select(y).distinct().orderBy(y).collect()]
+            self.metric_ = metric_of(self.params.get("metric", "riemann"), "distance")
+            self.covmeans_ = np.concatenate([Kmeans(**self.params).fit(df.where(F.col(y) == v), weight, col, id_).cluster_centers_ for v in labels])
+        finally:
+            df.unpersist()
         return self
 
     def transform(self, df, col="cov", out="distances"):
